@@ -28,7 +28,7 @@ from millrace.llm.common import durable, let
 from millrace.llm.spans import matches
 
 MIN_LENGTH = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 DICTIONARY = 5000
 MAX_FINDINGS = 20_000
 REACH = 48
