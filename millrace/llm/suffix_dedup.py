@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, scratch, small_batches
+from millrace.llm.common import discard, durable, release, small_batches, spill
 
 LENGTH = 200
 GRAM = 32
@@ -226,16 +226,19 @@ def repeats(documents: DataFrame, text: str = "text", length: int = LENGTH, gram
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([x.column(0).take(take), x.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(mh), pa.array(ch)], ["a", "b", "start", "n", "at", "mh", "ch"])
 
-    documents.select("a", "b", text).mapInArrow(find, "a long, b long, start int, n int, at int, mh long, ch long").write.parquet(path := scratch(spark, "runs"))
-    all_runs = spark.read.parquet(path)
+    all_runs, runs_path = spill(documents.select("a", "b", text).mapInArrow(find, "a long, b long, start int, n int, at int, mh long, ch long"), "runs")
     often = durable(all_runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh"))
-    some = durable(all_runs.join(often, "mh"))
-    kinds = some.groupBy("mh", "ch").agg(F.count("*").alias("copies"), F.min(F.struct("a", "b", "start", "n", "at")).alias("one"))
-    kinds = durable(kinds)
+    some, _ = spill(all_runs.join(often, "mh"), "repeated")
+    discard(spark, runs_path)
+    release(spark)
+    kinds = durable(some.groupBy("mh", "ch").agg(F.count("*").alias("copies")))
     mixed = durable(kinds.groupBy("mh").agg(F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("kinds > 1 and single > 0").select("mh"))
     copied = some.join(durable(kinds.where("copies > 1").select("mh", "ch")), ["mh", "ch"]).select("a", "b", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") - 1 + length).cast("long").alias("hi"))
-    asked = kinds.join(mixed, "mh").select("mh", "one.*", (F.col("copies") == 1).alias("need"))
-    asked = asked.groupBy("a", "b").agg(F.collect_list(F.struct("mh", "start", "n", "at", "need")).alias("asked"))  # as many as a text has runs
+    # of each content of a mixed minimizer one run, with whether it needs an answer
+    asked = some.join(mixed, "mh").groupBy("mh", "ch").agg(F.min(F.struct("a", "b", "start", "n", "at")).alias("one"), F.count("*").alias("copies"))
+    asked = asked.select("mh", "one.*", (F.col("copies") == 1).alias("need"))
+    asked = durable(asked.groupBy("a", "b").agg(F.collect_list(F.struct("mh", "start", "n", "at", "need")).alias("asked")))  # as many as a text has runs
+    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -257,7 +260,8 @@ def remove(documents: DataFrame, key: str = "doc_id", text: str = "text", length
     given = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     given = given.withColumns({"a": F.xxhash64(F.lit(1), key, "_text"), "b": F.xxhash64(F.lit(2), "_text", key)})
     # a text's ranges lie within it: what is gathered for one row is bounded by the row
-    found = repeats(given, "_text", length, gram).groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    found, _ = spill(repeats(given, "_text", length, gram).groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "ranges")
+    release(documents.sparkSession)
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
