@@ -231,12 +231,12 @@ def repeats(documents: DataFrame, text: str = "text", length: int = LENGTH, gram
     some, _ = spill(all_runs.join(often, "mh"), "repeated")
     discard(spark, runs_path)
     release(spark)
-    kinds = durable(some.groupBy("mh", "ch").agg(F.count("*").alias("copies")))
+    # copies are counted, and one of them picked, in parts before the shuffle
+    kinds = durable(some.groupBy("mh", "ch").agg(F.count("*").alias("copies"), F.min(F.struct("a", "b", "start", "n", "at")).alias("one")))
     mixed = durable(kinds.groupBy("mh").agg(F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("kinds > 1 and single > 0").select("mh"))
     copied = some.join(durable(kinds.where("copies > 1").select("mh", "ch")), ["mh", "ch"]).select("a", "b", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") - 1 + length).cast("long").alias("hi"))
     # of each content of a mixed minimizer one run, with whether it needs an answer
-    asked = some.join(mixed, "mh").groupBy("mh", "ch").agg(F.min(F.struct("a", "b", "start", "n", "at")).alias("one"), F.count("*").alias("copies"))
-    asked = asked.select("mh", "one.*", (F.col("copies") == 1).alias("need"))
+    asked = kinds.join(mixed, "mh").select("mh", "one.*", (F.col("copies") == 1).alias("need"))
     asked = durable(asked.groupBy("a", "b").agg(F.collect_list(F.struct("mh", "start", "n", "at", "need")).alias("asked")))  # as many as a text has runs
     release(spark)
 
