@@ -36,7 +36,7 @@ PATTERNS = {
 }
 ALPHA = 1.1
 REMOVE = 0.999
-MIN_SUPPORT = 3
+MIN_SUPPORT = 5
 WINDOW = 4
 REACH = 400
 BROADCAST_TERMS = 100_000
