@@ -1 +1,41 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the operators that SQL expresses. The others are tested against plain versions in tests/llm."""
+
+from __future__ import annotations
+
+from millrace.llm.quality import STOP_WORDS, SYMBOLS
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+OP1 = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+tri as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from w, unnest(range(1, len(ws) - 1)) r(i)),
+rep as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from tri) x where c > 1),
+cov as (select rid, count(distinct i + j) as n from rep, (values (0), (1), (2)) v(j) group by rid),
+m as (select w.rid, doc_id, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+  cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(cov.n, 0) as bigint) as n_repeat_words, len(ls) as n_lines,
+  len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') in ({_STOP}))) as stops, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) as alphas,
+  len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) as dots, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•‣▪]'))) as bullets from w left join cov on cov.rid = w.rid),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars / n_words between 2.0 and 20.0 and n_symbols / n_words <= 0.3 and stops / n_words >= 0.02 and alphas / n_words >= 0.6
+  and n_dup_lines / n_lines <= 0.5 and dots / n_lines <= 0.5 and bullets / n_lines <= 0.9 as kept from v"""
+
+OP4 = """
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select rid, p, md5(substr(h, p * 2 + 1, 400)) as m from d, unnest(range(0, length(h) // 2 - 199)) r(p)),
+dup as (select rid, p from (select rid, p, count(*) over (partition by m) as c from win) x where c > 1),
+stepped as (select rid, p, case when p - lag(p) over (partition by rid order by p) <= 200 then 0 else 1 end as opens from dup),
+island as (select rid, min(p) as s, max(p) + 200 as e from (select rid, p, sum(opens) over (partition by rid order by p) as g from stepped) x group by rid, g),
+piece as (select rid, s, e, coalesce(lag(e) over (partition by rid order by s), 0) as prev from island),
+cut as (select d.rid, count(*) as n_spans, sum(e - s) as gone, string_agg(substr(h, prev * 2 + 1, (s - prev) * 2), '' order by s) || substr(any_value(h), max(e) * 2 + 1) as kept from piece join d on d.rid = piece.rid group by d.rid)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join cut on cut.rid = d.rid"""
+
+OP9 = """
+with p as (select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to from f"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_suffix_dedup": OP4, "op9_warc": OP9}
