@@ -23,7 +23,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP4 = """
 with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-win as (select rid, p, md5(substr(h, p * 2 + 1, 400)) as m from d, unnest(range(0, length(h) // 2 - 199)) r(p)),
+chunk as (select rid, length(h) // 2 as n, k * 100 as base, substr(h, k * 200 + 1, 598) as c from d, unnest(range(0, (greatest(length(h) // 2 - 199, 0) + 99) // 100)) r(k)),
+win as (select rid, base + j as p, md5(substr(c, j * 2 + 1, 400)) as m from chunk, unnest(range(0, 100)) r(j) where base + j <= n - 200),
 dup as (select rid, p from (select rid, p, count(*) over (partition by m) as c from win) x where c > 1),
 stepped as (select rid, p, case when p - lag(p) over (partition by rid order by p) <= 200 then 0 else 1 end as opens from dup),
 island as (select rid, min(p) as s, max(p) + 200 as e from (select rid, p, sum(opens) over (partition by rid order by p) as g from stepped) x group by rid, g),
