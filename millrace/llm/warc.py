@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import durable, small_batches
+from millrace.llm.common import durable, release
 
 MIN_PAYLOAD = 100
 #: Raw bytes of records that one archive file holds, about.
@@ -90,9 +90,11 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     request = _record("request", _urn("request", F.col("rid")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{END}")))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", _urn("metadata", F.col("rid")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/warc-fields"))], fields)
-    raw = pages.select(F.sum(F.octet_length(html).cast("long") + 2000).alias("n")).collect()[0]["n"] or 0
+    total = pages.agg(F.count("*").alias("rows"), F.sum(F.octet_length(html).cast("long") + 2000).alias("raw")).collect()[0]
+    most = max(3, round(3 * FILE_BYTES * total["rows"] / (total["raw"] or 1)))
     records = df.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.repartition(max(1, round(raw / FILE_BYTES))).write.option("lineSep", END).option("compression", compression).text(path)
+    records.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
+    release(pages.sparkSession)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
