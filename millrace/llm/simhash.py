@@ -245,7 +245,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents, with all their columns, without those whose component has a smaller key; repeated keys are kept once, null keys always."""
     found = near_duplicates(documents, key, text)
-    drop = durable(found.where(F.col("component_id") < F.col(key)).select(F.col(key)).distinct())
-    kept = documents.join(drop, key, "left_anti").select(documents.columns)
+    goes = F.coalesce(F.max(F.col("component_id") < F.col(key)), F.lit(False))
+    marked = durable(found.groupBy(key).agg(goes.alias("_goes"), F.count("*").alias("_n")).where("_goes or _n > 1"))
+    kept = documents.join(marked.where("_goes").select(key), key, "left_anti").select(documents.columns)
+    again = marked.where("not _goes").select(F.col(key).alias("_again"))
+    if again.isEmpty():
+        return kept
+    # only rows whose key stands more than once meet each other
+    same = kept[key].eqNullSafe(again["_again"])
     once = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce(text, F.lit("")), 256)))
-    return kept.withColumn("_once", once).dropDuplicates(["_once"]).drop("_once")
+    first = kept.join(again, same, "left_semi").withColumn("_once", once).dropDuplicates(["_once"]).drop("_once")
+    return kept.join(again, same, "left_anti").unionByName(first)
