@@ -32,6 +32,9 @@ MAX_REPEATS = 3
 BLOCKS = 1024
 SHARDS = 32
 SEED = 8
+#: Up to this many blocks of all sources, counted, their draws are broadcast; beyond, rows are shuffled to them.
+BROADCAST_BLOCKS = 200_000
+ON = ("_none", "_s")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -100,17 +103,21 @@ def quotas(drawn: DataFrame, shards: int = SHARDS) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.explode(F.arrays_zip("sources", "counts")).alias("z")).select("shard", F.col("z.sources").alias("source"), F.col("z.counts").alias("quota"))
 
 
-def plan(sized: DataFrame, key: str = "doc_id", shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """sized (key, source, size) with source_size, target, and draws: array<struct<pass, shard>>, one entry for each time a document is taken."""
+def _located(df: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+    """df with the source and block of each row, and its order within the block."""
     h = F.xxhash64(F.lit(SEED), F.col(key))
-    df = sized.withColumns({"block": F.pmod(h, F.lit(blocks)).cast("int"), "within": F.xxhash64(F.lit(SEED + 1), F.col(key)), "_none": F.col("source").isNull(), "_s": F.coalesce("source", F.lit(""))})
+    return df.withColumns({"block": F.pmod(h, F.lit(blocks)).cast("int"), "within": F.xxhash64(F.lit(SEED + 1), F.col(key)), "_none": F.col("source").isNull(), "_s": F.coalesce("source", F.lit(""))})
+
+
+def _dealt(df: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """For every block of every source its draws, what is cut of it, and the source's sizes. df: located rows with size."""
     # blocks are summed in parts before they are shuffled
     by_block = durable(df.groupBy("_none", "_s", "block").agg(F.sum("size").alias("block_size")))
     sources = by_block.groupBy("_none", "_s").agg(F.sum("block_size").alias("source_size")).withColumn("source", F.when(~F.col("_none"), F.col("_s")))
     sources = targets(sources)
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
     sources = durable(sources.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-    on = ["_none", "_s"]
+    on = list(ON)
     permuted = Window.partitionBy(*on).orderBy(F.xxhash64(F.lit(SEED + 2), "_none", "_s", "block"), "block")
     at = F.sum("block_size").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("block_size")
     state = by_block.join(sources.drop("source"), on).withColumn("before", at)
@@ -127,15 +134,27 @@ def plan(sized: DataFrame, key: str = "doc_id", shards: int = SHARDS, blocks: in
     upto = F.sum("quota").over(Window.partitionBy(*on).orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     turns = quota.withColumn("upto", upto).where("quota > 0").select(*on, "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("turn"))
     dealt = draws.join(turns.withColumn("turn", F.col("turn").cast("int")), [*on, "turn"]).groupBy(*on, "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
-    dealt = durable(dealt.join(state.select(*on, "block", "part", "need", "passes", "source_size", "target"), [*on, "block"], "right"))
-    out = df.join(dealt, [*on, "block"])
-    # the block that is cut: a document goes if most of it lies before the cut
-    whole_block, cut = out.where("part <> 'some'"), out.where("part = 'some'")
-    within = Window.partitionBy(*on, "block").orderBy("within", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return durable(dealt.join(state.select(*on, "block", "part", "need", "passes", "source_size", "target"), [*on, "block"], "right"))
+
+
+def _bounded(dealt: DataFrame) -> DataFrame:
+    return F.broadcast(dealt) if dealt.count() <= BROADCAST_BLOCKS else dealt
+
+
+def _cut(cut: DataFrame, key: str) -> DataFrame:
+    """Rows of the blocks that are cut: a document goes if most of it lies before the cut."""
+    within = Window.partitionBy(*ON, "block").orderBy("within", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("_in", F.sum("size").over(within) - F.col("size") / 2 <= F.col("need"))
-    cut = cut.withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(F.filter("draws", lambda d: d["pass"] < F.col("passes")))).drop("_in")
+    return cut.withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(F.filter("draws", lambda d: d["pass"] < F.col("passes")))).drop("_in")
+
+
+def plan(sized: DataFrame, key: str = "doc_id", shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
+    """sized (key, source, size) with source_size, target, and draws: array<struct<pass, shard>>, one entry for each time a document is taken."""
+    df = _located(sized, key, blocks)
+    out = df.join(_bounded(_dealt(df, shards)), [*ON, "block"])
     empty = F.array().cast("array<struct<pass:int,shard:int>>")
-    return whole_block.unionByName(cut).select(key, "source", "size", "source_size", "target", F.coalesce("draws", empty).alias("draws"))
+    both = out.where("part <> 'some'").unionByName(_cut(out.where("part = 'some'"), key))
+    return both.select(key, "source", "size", "source_size", "target", F.coalesce("draws", empty).alias("draws"))
 
 
 def sized(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -151,9 +170,19 @@ def digest(documents: DataFrame, key: str = "doc_id", text: str = "text", source
 
 def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixture: documents with all their columns, a row for each time one is taken, with mix_shard, mix_pass and mix_order, in shard order."""
-    small = plan(sized(documents, key, text, source), key)
-    # rows with one key have one plan, as blocks and cuts follow the key
-    draws = durable(small.groupBy(key).agg(F.max("draws").alias("_draws")).where(F.size("_draws") > 0))
-    rows = documents.join(draws, documents[key].eqNullSafe(draws[key])).drop(draws[key]).select(*documents.columns, F.explode("_draws").alias("_d"))
-    rows = rows.select(*documents.columns, F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"), F.xxhash64(F.lit(SEED + 4), "_d.shard", "_d.pass", key).alias("mix_order"))
+    small = _located(sized(documents, key, text, source), key)
+    dealt = _dealt(small)
+    block = [*ON, "block"]
+    # documents are read again for the one block of each source that is cut, so that no more than it is joined by key;
+    # its rows with one key have one plan
+    some = dealt.where("part = 'some'")
+    cut = _cut(small.join(_bounded(some), block), key).groupBy(*ON, F.col(key).alias("_cut_key")).agg(F.max("draws").alias("draws")).where(F.size("draws") > 0)
+    cut = durable(cut.select(F.col("_none").alias("_cut_none"), F.col("_s").alias("_cut_s"), "_cut_key", "draws"))
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("source"))
+    rows = _located(rows, "_key")
+    whole = rows.join(_bounded(dealt.where("part <> 'some'").select(*block, "draws")), block)
+    parts = rows.join(_bounded(some.select(*block)), block, "left_semi")
+    parts = parts.join(cut, (parts["_none"] == cut["_cut_none"]) & (parts["_s"] == cut["_cut_s"]) & parts["_key"].eqNullSafe(cut["_cut_key"]))
+    rows = whole.select("_row", "_key", "draws").unionAll(parts.select("_row", "_key", "draws")).select("_row", "_key", F.explode("draws").alias("_d"))
+    rows = rows.select("_row.*", F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"), F.xxhash64(F.lit(SEED + 4), "_d.shard", "_d.pass", "_key").alias("mix_order"))
     return rows.repartition("mix_shard", F.pmod("mix_order", F.lit(16))).sortWithinPartitions("mix_shard", "mix_order")
