@@ -95,11 +95,18 @@ def disclosing(found: DataFrame) -> DataFrame:
     mentions = mentions.select(F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), context.alias("context"), "d")
     contexts = mentions.groupBy("kind", "value", "context").agg(F.count("*").alias("n")).select("kind", "value", F.xxhash64("context").alias("c"), F.explode(F.array_distinct("context")).alias("term"), "n").where("term <> '\\u0000'")
     support = contexts.groupBy("kind", "value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_SUPPORT)
-    support = durable(support)
+    total = found.count()
+    of_base = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    entity_docs = found.where(F.size("base") > 0).select(F.explode(of_base).alias("e")).select("e.*").groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    # a term discloses only if n_term <= n_both * (total / n_entity) ** (1 - 1 / ALPHA), and n_both <= n_entity. Texts that
+    # hold the term near any entity are a part of n_term, so terms that are common there leave before the corpus is searched
+    near = mentions.select(F.explode(F.array_distinct("context")).alias("term"), "d").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - 1 / ALPHA))
+    support = support.join(entity_docs, ["kind", "value"]).join(near, "term").where(F.col("n_near") <= most * (1 + 1e-9))
+    support = durable(support.select("kind", "value", "term", "n_entity"))
     schema = "term string, kind int, removed boolean"
     if support.isEmpty():
         return spark.createDataFrame([], schema)
-    entities = support.select("kind", "value").distinct()
     # documents that hold the entity, the term, and both; a document is counted once for each, a copy as a document
     candidates = durable(support.select("term").distinct())
     n = candidates.count()
@@ -107,9 +114,7 @@ def disclosing(found: DataFrame) -> DataFrame:
     held = found.select("base", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(small, "term", "left_semi")
     term_docs = held.groupBy("term").agg(F.count("*").alias("n_term"))
     pairs = held.select("term", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e")).groupBy("term", "e.kind", "e.value").agg(F.count("*").alias("n_both"))
-    entity_docs = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e")).select("e.*").groupBy("kind", "value").agg(F.count("*").alias("n_entity")).join(entities, ["kind", "value"], "left_semi")
-    total = found.count()
-    all_pairs = support.join(pairs, ["kind", "value", "term"]).join(term_docs, "term").join(entity_docs, ["kind", "value"])
+    all_pairs = support.join(pairs, ["kind", "value", "term"]).join(term_docs, "term")
     ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     told = all_pairs.select("term", "kind", ic.alias("ic"), pmi.alias("pmi")).where("ic > 0 and pmi >= ic / %r" % ALPHA)
