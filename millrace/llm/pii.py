@@ -169,10 +169,11 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents, with all their columns, their texts without what is personal."""
-    others = tuple(c for c in documents.columns if c not in (key, text))
-    found = find(documents, key, text, others)
+    others = [c for c in documents.columns if c not in (key, text)]
+    kept = F.struct(*others) if others else F.struct(F.lit(0))
+    found = find(documents.select(key, text, kept.alias("_others")), key, text, ("_others",))
     new = F.when(F.size("spans") > 0, replaced(F.col("_text"), F.col("spans"))).otherwise(F.col("_given"))
-    return found.select(*[new.alias(text) if c == text else F.col(c) for c in documents.columns])
+    return found.select(*[new.alias(c) if c == text else F.col(c) if c == key else F.col("_others")[c].alias(c) for c in documents.columns])
 
 
 def digest(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

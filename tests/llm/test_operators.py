@@ -73,6 +73,13 @@ def test_pii_disclosing_terms(spark):
     assert spans[8] == "term:5:13" and spans[20] == ""
 
 
+def test_pii_clashing_columns(spark):
+    rows = [(0, "mail a@b.example", "x", 1, "y"), (1, None, None, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string, told long, spans string")
+    assert sorted(tuple(r) for r in pii.sanitise(df).collect()) == [(0, "mail <EMAIL>", "x", 1, "y"), (1, None, None, None, "z")]
+    assert pii.sanitise(df).schema == df.schema
+
+
 def test_pii_copies_prove_nothing(spark):
     df = spark.createDataFrame([(i, "unheard words zyx near me@corp.example qrst uvw") for i in range(50)] + [(99, "zyx alone")], "doc_id long, text string")
     assert {r.spans for r in pii.digest(df).collect()} == {"email:23:38", ""}
