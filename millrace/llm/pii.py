@@ -9,8 +9,8 @@ different contexts, so that copies of one text prove nothing. Disclosing terms a
 stand in the corpus.
 
 Everything is SQL expressions, aggregations and joins. Pairs are aggregated before they are shuffled.
-Candidate terms are broadcast only up to BROADCAST_TERMS of them (counted); beyond, the words of the
-corpus are joined to them by a shuffle.
+Candidate terms are broadcast, and disclosing terms looked up in one value, only up to BROADCAST_TERMS of
+them (counted); beyond, the words of the corpus are joined to them by a shuffle.
 
 Nulls and odd input: a null text counts as empty, has no span and stays null when sanitised. Repeated
 rows count as documents but as one context. Ties do not arise: spans are ordered by start, kind and
@@ -122,6 +122,24 @@ def disclosing(found: DataFrame) -> DataFrame:
     return durable(best.select("term", F.col("b.kind").alias("kind"), (F.col("b.told") <= -REMOVE).alias("removed")))
 
 
+def _slots(terms: DataFrame, n: int) -> Column:
+    """The n terms (term, kind, removed) as a hash table in one value: a scalar subquery, an array with a list for each of n slots."""
+    lists = terms.groupBy(_slot(F.col("term"), n).alias("id")).agg(F.collect_list(F.struct("term", "kind", "removed")).alias("held"))
+    every = terms.sparkSession.range(n).select(F.col("id").cast("int").alias("id")).join(lists, "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "held"))), lambda x: x["held"])).scalar()
+
+
+def _slot(term: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
+
+
+def _told(text: Column, slots: Column, n: int) -> Column:
+    """Those of the terms in slots that text holds, null if none; texts need no shuffle for it."""
+    none = F.array().cast("array<struct<term:string,kind:int,removed:boolean>>")
+    of_word = lambda w: F.coalesce(F.filter(F.get(slots, _slot(w, n)), lambda t: t["term"] == w), none)
+    return let(F.flatten(F.transform(F.array_distinct(_terms(text)), of_word)), lambda t: F.when(F.size(t) > 0, t))
+
+
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """key (and columns), _text (null as empty), base, and spans: base and term spans, sorted; a term's value is its replacement."""
     given = documents.select(key, *columns, F.col(text).alias("_given"), F.coalesce(text, F.lit("")).alias("_text"))
@@ -131,11 +149,12 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", columns:
     if not n:
         return with_base.withColumn("spans", F.col("base"))
     if n <= BROADCAST_TERMS:
-        # one row of at most BROADCAST_TERMS entries would be searched in turn for each word; texts are joined by word instead
-        terms = F.broadcast(terms)
-    told = with_base.select(F.xxhash64("_text").alias("_a"), F.md5("_text").alias("_b"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term")
-    told = told.groupBy("_a", "_b").agg(F.collect_set(F.struct("term", "kind", "removed")).alias("told"))  # at most the words of one text
-    joined_up = with_base.withColumns({"_a": F.xxhash64("_text"), "_b": F.md5("_text")}).join(told, ["_a", "_b"], "left")
+        # slots is used once, so the optimizer puts the subquery in its place and no row carries it
+        joined_up = with_base.withColumn("slots", _slots(terms, n)).withColumn("told", _told(F.col("_text"), F.col("slots"), n)).drop("slots")
+    else:
+        told = with_base.select(F.xxhash64("_text").alias("_a"), F.md5("_text").alias("_b"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term")
+        told = told.groupBy("_a", "_b").agg(F.collect_set(F.struct("term", "kind", "removed")).alias("told"))  # at most the words of one text
+        joined_up = with_base.withColumns({"_a": F.xxhash64("_text"), "_b": F.md5("_text")}).join(told, ["_a", "_b"], "left").drop("_a", "_b")
     names = F.array(*[F.lit(k) for k in KINDS])
     words = matches(F.col("_text"), r"\p{L}{3,}+")
     hits = F.transform(
@@ -149,7 +168,7 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", columns:
     )
     free = F.filter(hits, lambda h: h["value"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
     spans = F.when(F.col("told").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", free)))
-    return joined_up.withColumn("spans", spans).drop("_a", "_b", "told")
+    return joined_up.withColumn("spans", spans).drop("told")
 
 
 def replaced(text: Column, spans: Column) -> Column:

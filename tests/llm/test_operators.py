@@ -57,7 +57,7 @@ def test_pii_base(odd, docs, spark):
     assert pii.digest(odd.limit(0)).count() == 0
 
 
-def test_pii_disclosing_terms(spark):
+def test_pii_disclosing_terms(spark, monkeypatch):
     rnd = random.Random(1)
     filler = ["the", "with", "house", "garden", "water", "stone", "cloud", "river"]
     word = lambda: rnd.choice(filler)
@@ -71,6 +71,8 @@ def test_pii_disclosing_terms(spark):
     assert "<EMAIL>" in clean[0] and pii.sanitise(df).columns == df.columns
     spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
     assert spans[8] == "term:5:13" and spans[20] == ""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert {r.doc_id: r.spans for r in pii.digest(df).collect()} == spans
 
 
 def test_pii_clashing_columns(spark):
