@@ -19,7 +19,7 @@ A null key never becomes a component's name unless all of its keys are null. Ext
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,9 +242,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return prints.join(names, "fp").select(key, "fp", "component_id")
 
 
-def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents, with all their columns, without those whose component has a smaller key; repeated keys are kept once, null keys always."""
-    found = near_duplicates(documents, key, text)
+def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """documents, with all their columns, without those whose component (by find) has a smaller key; repeated keys are kept once, null keys always."""
+    found = find(documents, key, text)
     goes = F.coalesce(F.max(F.col("component_id") < F.col(key)), F.lit(False))
     marked = durable(found.groupBy(key).agg(goes.alias("_goes"), F.count("*").alias("_n")).where("_goes or _n > 1"))
     kept = documents.join(marked.where("_goes").select(key), key, "left_anti").select(documents.columns)
