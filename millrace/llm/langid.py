@@ -30,6 +30,8 @@ from millrace.llm.common import small_batches
 PROFILE = 300
 MAX_TRAINING_DOCS = 4000
 SPACE = 32
+#: A score below SLACK of that which all but UNLIKE of a language's labelled rows reach speaks for no learnt language.
+SLACK, UNLIKE = 0.85, 0.001
 _letters: list[np.ndarray] = []
 
 
@@ -120,6 +122,17 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Profiles(ranked, length)
 
 
+def least_score(labelled: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_TRAINING_DOCS) -> float:
+    """The score below which a text is in none of the learnt languages, from the scores of labelled rows that are given their own; 0 without any."""
+    rows = labelled.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and text is not null")
+    most = max(1, len(profiles.names)) * max_docs
+    taken = rows.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1_000_003)) < F.lit(min(1.0, most / max(1, rows.count())) * 1_000_003))
+    right = identify(taken, profiles).where("lang_pred = _lang")
+    # a row for each language
+    low = [r["low"] for r in right.groupBy("_lang").agg(F.percentile_approx("score", UNLIKE, 100_000).alias("low")).collect()]
+    return SLACK * min(low) if low else 0.0
+
+
 def identify(documents: DataFrame, profiles: Profiles, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents with two more columns; what else they hold passes unread."""
     small_batches(documents.sparkSession)

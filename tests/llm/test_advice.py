@@ -38,3 +38,14 @@ def test_pipeline_drops_edited_copies(spark):
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert 1 in left and 177 not in left  # similarity 0.83, more than 4 bits apart
     assert 177 in {r.doc_id for r in simhash.deduplicate(docs).collect()}
+
+
+def test_pipeline_drops_unlearnt_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    russian = "Жили были дед и баба и была у них курочка ряба. " * 9
+    finnish = "Vanhan miehen talo oli metsän reunassa ja hän käveli sinne joka päivä aamulla varhain, kun aurinko nousi järven yli. Illalla hän palasi kotiin ja keitti kahvia ystävilleen. "
+    more = spark.createDataFrame([(9001, russian), (9002, finnish), (9003, finnish * 5), (9004, "12 34")], "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), SF).collect()}
+    assert left == {r.doc_id for r in docs.collect()}
