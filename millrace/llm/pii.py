@@ -1,27 +1,31 @@
 """Operator 2, personal data: fixed patterns, then information-theoretic sanitisation.
 
 The values that the patterns find (e-mail addresses, IP addresses, card and telephone numbers) are the
-protected entities. Words near them are candidate terms. Over the whole corpus, counted by document,
+protected entities. Words near them are candidate terms. Over the whole corpus, counted by distinct text,
 IC(e) = -log2 p(e) is an entity's information and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) what a term
 tells of it; a term with PMI >= IC / ALPHA discloses the entity. It is removed where it tells all
-(PMI >= REMOVE * IC) and generalised to its entity's kind otherwise. A pair must stand in MIN_SUPPORT
-different contexts, so that copies of one text prove nothing. Disclosing terms are found wherever they
-stand in the corpus.
+(PMI >= REMOVE * IC) and generalised to its entity's kind otherwise. Every observed pair is judged, and
+must be more than chance makes among all pairs (Bonferroni, LEVEL); no count of texts is asked for beyond
+that. Texts of entities that are copies of each other, edited or not, count once, so that copies of one
+text prove nothing. Disclosing terms are found wherever they stand in the corpus.
 
 Everything is SQL expressions, aggregations and joins. Pairs are aggregated before they are shuffled.
 Candidate terms are broadcast, and disclosing terms looked up in one value, only up to BROADCAST_TERMS of
 them (counted); beyond, the words of the corpus are joined to them by a shuffle.
 
 Nulls and odd input: a null text counts as empty, has no span and stays null when sanitised. Repeated
-rows count as documents but as one context. Ties do not arise: spans are ordered by start, kind and
+texts count once. Ties do not arise: spans are ordered by start, kind and
 end. Extra columns pass through `sanitise` and are ignored by `find`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import resemblance
 from millrace.llm.common import durable, let
 from millrace.llm.spans import matches
 
@@ -36,7 +40,9 @@ PATTERNS = {
 }
 ALPHA = 1.1
 REMOVE = 0.999
-MIN_SUPPORT = 5
+LEVEL = 0.05
+#: Texts of entities that are so similar (five-word shingles) are copies.
+COPY = 0.5
 WINDOW = 4
 REACH = 400
 BROADCAST_TERMS = 100_000
@@ -80,45 +86,70 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _tells(total: int, tested: int, n_entity: Column, n_term: Column, n_both: Column) -> tuple[Column, Column, Column]:
+    """IC, PMI and whether a term discloses: PMI reaches its threshold, and chance makes n_both or more in none of the tested pairs with confidence 1 - LEVEL.
+
+    Chance is bounded by exp(-n KL), Hoeffding's bound for draws without replacement. Both conditions only weaken as n_term grows.
+    """
+    n = F.lit(float(total))
+    ic, pmi = F.log2(n / n_entity), F.log2(n * n_both / (n_entity * n_term))
+    a, q = n_both / n_entity, F.least(n_term / n, F.lit(1.0))
+    apart = a * F.log(a / q) + F.when((a < 1) & (q < 1), (1 - a) * F.log((1 - a) / (1 - q))).otherwise(0.0)
+    sure = F.log(F.lit(float(tested))) - n_entity * apart <= math.log(LEVEL)
+    return ic, pmi, (ic > 0) & (pmi >= ic / ALPHA - 1e-9) & sure
+
+
+def _candidates() -> Column:
+    """The WINDOW terms on each side of every span in base."""
+    clean = lambda c: F.regexp_replace(c, PATTERNS["email"], " ")
+
+    def around(s: Column) -> Column:
+        left = F.substring(F.col("_text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
+        before, after = _terms(clean(left)), _terms(clean(F.substring(F.col("_text"), s["end"] + 1, F.lit(REACH))))
+        return F.concat(F.slice(before, F.greatest(F.size(before) - WINDOW, F.lit(0)) + 1, WINDOW), F.slice(after, 1, WINDOW))
+
+    return F.array_distinct(F.flatten(F.transform("base", around)))
+
+
 def disclosing(found: DataFrame) -> DataFrame:
     """term, kind, removed: the terms that disclose an entity, each with the kind that it tells most of.
 
     found: rows with _text and base, an array of base_spans().
     """
     spark = found.sparkSession
-    mentions = found.where(F.size("base") > 0).select("_text", F.explode("base").alias("s"), F.xxhash64("_text").alias("d"))
-    left = F.substring(F.col("_text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    right = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(REACH))
-    clean = lambda c: F.regexp_replace(c, PATTERNS["email"], " ")
-    before, after = _terms(clean(left)), _terms(clean(right))
-    context = F.concat(let(before, lambda b: F.slice(b, F.greatest(F.size(b) - WINDOW, F.lit(0)) + 1, WINDOW)), F.array(F.lit("\x00")), F.slice(after, 1, WINDOW))
-    mentions = mentions.select(F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), context.alias("context"), "d")
-    contexts = mentions.groupBy("kind", "value", "context").agg(F.count("*").alias("n")).select("kind", "value", F.xxhash64("context").alias("c"), F.explode(F.array_distinct("context")).alias("term"), "n").where("term <> '\\u0000'")
-    support = contexts.groupBy("kind", "value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_SUPPORT)
-    total = found.count()
-    of_base = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    entity_docs = found.where(F.size("base") > 0).select(F.explode(of_base).alias("e")).select("e.*").groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    # a term discloses only if n_term <= n_both * (total / n_entity) ** (1 - 1 / ALPHA), and n_both <= n_entity. Texts that
-    # hold the term near any entity are a part of n_term, so terms that are common there leave before the corpus is searched
-    near = mentions.select(F.explode(F.array_distinct("context")).alias("term"), "d").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    most = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - 1 / ALPHA))
-    support = support.join(entity_docs, ["kind", "value"]).join(near, "term").where(F.col("n_near") <= most * (1 + 1e-9))
-    support = durable(support.select("kind", "value", "term", "n_entity"))
     schema = "term string, kind int, removed boolean"
+    entities = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    holding = found.where(F.size("base") > 0).select(F.xxhash64("_text").alias("d"), F.struct("_text", entities.alias("entities"), _candidates().alias("terms")).alias("x"))
+    holding = durable(holding.groupBy("d").agg(F.first("x").alias("x")).select("d", "x.*"))
+    if holding.isEmpty():
+        return spark.createDataFrame([], schema)
+    # texts that are copies of each other, edited or not, are one piece of evidence, g
+    copies = resemblance.near_duplicates(holding, "d", "_text", similarity=COPY, rows=2)
+    copies = durable(copies.select("d", F.col("component_id").alias("g")))
+    counted = copies.agg(F.count("*").alias("d"), F.count_distinct("g").alias("g")).first()
+    total = found.agg(F.count_distinct(F.xxhash64("_text"))).first()[0] - counted["d"] + counted["g"]
+    held = holding.join(copies, "d").select("g", "entities", "terms")
+    tested = held.agg(F.sum(F.size("entities") * F.size("terms"))).first()[0] or 1
+    of_entity = held.select("g", F.explode("entities").alias("e"), "terms").select("g", "e.*", "terms")
+    entity_docs = of_entity.select("g", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    # entities in so few texts that no term could be told from chance, and then terms that are too common in the texts of
+    # any entity (a part of those that hold the term), leave before the corpus is searched; neither changes the result
+    open_ = entity_docs.where(_tells(total, tested, F.col("n_entity"), F.col("n_entity"), F.col("n_entity"))[2])
+    pairs = of_entity.join(open_, ["kind", "value"]).select("g", "kind", "value", "n_entity", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.groupBy("kind", "value", "n_entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = durable(pairs.where(_tells(total, tested, F.col("n_entity"), F.col("n_both"), F.col("n_both"))[2]))
+    near = held.select("g", F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    support = durable(pairs.join(near, "term").where(_tells(total, tested, F.col("n_entity"), F.col("n_near"), F.col("n_both"))[2]))
     if support.isEmpty():
         return spark.createDataFrame([], schema)
-    # documents that hold the entity, the term, and both; a document is counted once for each, a copy as a document
+    # texts that hold the term
     candidates = durable(support.select("term").distinct())
     n = candidates.count()
     small = F.broadcast(candidates) if n <= BROADCAST_TERMS else candidates
-    held = found.select("base", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(small, "term", "left_semi")
-    term_docs = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = held.select("term", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e")).groupBy("term", "e.kind", "e.value").agg(F.count("*").alias("n_both"))
-    all_pairs = support.join(pairs, ["kind", "value", "term"]).join(term_docs, "term")
-    ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    told = all_pairs.select("term", "kind", ic.alias("ic"), pmi.alias("pmi")).where("ic > 0 and pmi >= ic / %r" % ALPHA)
-    best = told.groupBy("term").agg(F.min(F.struct((-F.col("pmi") / F.col("ic")).alias("told"), F.col("kind").alias("kind"))).alias("b"))
+    texts = found.select(F.xxhash64("_text").alias("d"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(small, "term", "left_semi").distinct()
+    term_docs = texts.join(copies, "d", "left").select("term", F.coalesce("g", "d").alias("g")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    ic, pmi, told = _tells(total, tested, F.col("n_entity"), F.col("n_term"), F.col("n_both"))
+    best = support.join(term_docs, "term").where(told).groupBy("term").agg(F.min(F.struct((-pmi / ic).alias("told"), F.col("kind").alias("kind"))).alias("b"))
     return durable(best.select("term", F.col("b.kind").alias("kind"), (F.col("b.told") <= -REMOVE).alias("removed")))
 
 

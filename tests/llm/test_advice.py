@@ -1,10 +1,11 @@
 """What the operators did less than wholly before the advice of round 1."""
 
 import itertools
+import random
 
 import pytest
 
-from millrace.llm import resemblance, simhash
+from millrace.llm import pii, resemblance, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,20 @@ def test_pipeline_drops_unlearnt_languages(spark):
     more = spark.createDataFrame([(9001, russian), (9002, finnish), (9003, finnish * 5), (9004, "12 34")], "doc_id long, text string")
     left = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), SF).collect()}
     assert left == {r.doc_id for r in docs.collect()}
+
+
+def letters(n, line, seed=3):
+    """n texts of random words, each with the line in it."""
+    rnd = random.Random(seed)
+    words = [a + b + c for a in ("bar", "lon", "mis", "tev", "gar") for b in ("a", "e", "i", "o") for c in ("nt", "rd", "sk", "lm", "pt")]
+    some = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    return [f"{some(12)} {line} {some(12)}" for _ in range(n)], [some(25) for _ in range(200)]
+
+
+def test_pii_few_texts_and_signatures(spark):
+    held, rest = letters(3, "yours Kowalska kowal@corp.example in Leeds")
+    sanitised = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(held + rest)), "doc_id long, text string")).collect()]
+    assert not any("Kowalska" in t for t in sanitised)
+    edited = [held[0], held[0] + " barant", "lonard " + held[0]]  # copies of one text prove nothing
+    sanitised = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(edited + rest)), "doc_id long, text string")).collect()]
+    assert sum("Kowalska" in t for t in sanitised) == 3
