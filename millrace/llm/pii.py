@@ -1,7 +1,7 @@
 """Operator 2, personal data: fixed patterns, then information-theoretic sanitisation.
 
 The values that the patterns find (e-mail addresses, IP addresses, card and telephone numbers) are the
-protected entities. Words near them are candidate terms. Over the whole corpus, counted by distinct text,
+protected entities. The words of the texts that hold them are candidate terms. Over the whole corpus, counted by distinct text,
 IC(e) = -log2 p(e) is an entity's information and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) what a term
 tells of it; a term with PMI >= IC / ALPHA discloses the entity. It is removed where it tells all
 (PMI >= REMOVE * IC) and generalised to its entity's kind otherwise. Every observed pair is judged, and
@@ -43,8 +43,6 @@ REMOVE = 0.999
 LEVEL = 0.05
 #: Texts of entities that are so similar (five-word shingles) are copies.
 COPY = 0.5
-WINDOW = 4
-REACH = 400
 BROADCAST_TERMS = 100_000
 TERM = r"\p{L}{3,}+"
 TERM_KIND = len(KINDS)
@@ -99,18 +97,6 @@ def _tells(total: int, tested: int, n_entity: Column, n_term: Column, n_both: Co
     return ic, pmi, (ic > 0) & (pmi >= ic / ALPHA - 1e-9) & sure
 
 
-def _candidates() -> Column:
-    """The WINDOW terms on each side of every span in base."""
-    clean = lambda c: F.regexp_replace(c, PATTERNS["email"], " ")
-
-    def around(s: Column) -> Column:
-        left = F.substring(F.col("_text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-        before, after = _terms(clean(left)), _terms(clean(F.substring(F.col("_text"), s["end"] + 1, F.lit(REACH))))
-        return F.concat(F.slice(before, F.greatest(F.size(before) - WINDOW, F.lit(0)) + 1, WINDOW), F.slice(after, 1, WINDOW))
-
-    return F.array_distinct(F.flatten(F.transform("base", around)))
-
-
 def disclosing(found: DataFrame) -> DataFrame:
     """term, kind, removed: the terms that disclose an entity, each with the kind that it tells most of.
 
@@ -119,7 +105,7 @@ def disclosing(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     schema = "term string, kind int, removed boolean"
     entities = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    holding = found.where(F.size("base") > 0).select(F.xxhash64("_text").alias("d"), F.struct("_text", entities.alias("entities"), _candidates().alias("terms")).alias("x"))
+    holding = found.where(F.size("base") > 0).select(F.xxhash64("_text").alias("d"), F.struct("_text", entities.alias("entities"), F.array_distinct(_terms(F.regexp_replace("_text", PATTERNS["email"], " "))).alias("terms")).alias("x"))
     holding = durable(holding.groupBy("d").agg(F.first("x").alias("x")).select("d", "x.*"))
     if holding.isEmpty():
         return spark.createDataFrame([], schema)

@@ -67,3 +67,10 @@ def test_pii_few_texts_and_signatures(spark):
     edited = [held[0], held[0] + " barant", "lonard " + held[0]]  # copies of one text prove nothing
     sanitised = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(edited + rest)), "doc_id long, text string")).collect()]
     assert sum("Kowalska" in t for t in sanitised) == 3
+
+
+def test_pii_terms_far_from_the_value(spark):
+    held, rest = letters(4, "kowal@corp.example")
+    held = ["Kowalska " + t for t in held]  # twelve words before the value
+    sanitised = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(held + rest)), "doc_id long, text string")).collect()]
+    assert not any("Kowalska" in t for t in sanitised) and sum("<EMAIL>" in t for t in sanitised) == 4
