@@ -1,7 +1,9 @@
 """Operator 10, secret scans: candidate strings judged by a random forest.
 
 A candidate is a maximal run of at least MIN_LENGTH characters of the base64 and URL alphabets with a
-digit in it. Its features: length, shares of kinds of characters, changes between kinds from one
+digit in it; or, digit or not, a run that begins as the keys of a well-known service do; or the value
+assigned (= or :) to a name that says secret, of MIN_ASSIGNED characters other than space and quote or
+more. Of those that begin at one place the assigned value is taken, and it takes in runs within it. Its features: length, shares of kinds of characters, changes between kinds from one
 character to the next, distinct characters, how much of it the corpus's dictionary covers (its letter
 runs that are among the DICTIONARY most frequent words), what the path says (test, example, ...), and
 the words and signs before it. The forest is trained on labelled findings, at most MAX_FINDINGS of
@@ -28,7 +30,8 @@ from millrace.llm.common import durable, let
 from millrace.llm.spans import matches
 
 MIN_LENGTH = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+MIN_ASSIGNED = 6
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}+" % MIN_LENGTH
 DICTIONARY = 5000
 MAX_FINDINGS = 20_000
 REACH = 48
@@ -46,11 +49,25 @@ ODD_PATHS = r"(?i)(test|example|sample|mock|fixture|docs?/)"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk_live_|rk_live_|AIza|glpat-)"
 
 
+#: A value that follows a keyword and an assignment, and a key by its prefix.
+ASSIGNED = r"(?i)(?<=(?:%s)[A-Za-z0-9_-]{0,16}[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?<![^\s=:\"'])[^\s\"'=:,;][^\s\"']{%d,}+" % (KEYWORDS.removeprefix("(?i)"), MIN_ASSIGNED - 1)
+PREFIXED = r"(?<![A-Za-z0-9+/_-])" + PREFIXES.removeprefix("^") + r"[A-Za-z0-9+/_-]{%d,}+" % MIN_ASSIGNED
+
+
+def _candidates(text: Column) -> Column:
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    runs = F.when(text.rlike("[0-9]"), F.filter(matches(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]"))).otherwise(none)
+    named = F.when(text.rlike(KEYWORDS), matches(text, ASSIGNED)).otherwise(none)
+    known = matches(text, PREFIXED)
+    within = lambda m, held: F.exists(held, lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]))
+    return let(named, lambda a: let(F.filter(F.array_distinct(F.concat(runs, known)), lambda m: ~within(m, a)), lambda b: F.array_sort(F.concat(a, b))))
+
+
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """key, start, end, value, before (the characters before it), after, path of every candidate."""
     t = F.coalesce(F.col(text), F.lit(""))
     given = documents.select(F.col(key), t.alias("_text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    found = F.when(F.col("_text").rlike("[0-9]"), F.filter(matches(F.col("_text"), CANDIDATE), lambda m: m["value"].rlike("[0-9]"))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    found = _candidates(F.col("_text"))
     df = given.withColumn("_m", found).select(key, "_text", "path", F.explode("_m").alias("_m"))
     before = F.substring(F.col("_text"), F.greatest(F.col("_m.start") - REACH, F.lit(0)) + 1, F.least(F.col("_m.start"), F.lit(REACH)))
     return df.select(key, "_m.start", "_m.end", "_m.value", before.alias("before"), F.substring(F.col("_text"), F.col("_m.end") + 1, F.lit(REACH)).alias("after"), "path")

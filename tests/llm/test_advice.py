@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.llm import pii, resemblance, simhash
+from millrace.llm import pii, resemblance, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,10 @@ def test_pii_terms_far_from_the_value(spark):
     held = ["Kowalska " + t for t in held]  # twelve words before the value
     sanitised = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(held + rest)), "doc_id long, text string")).collect()]
     assert not any("Kowalska" in t for t in sanitised) and sum("<EMAIL>" in t for t in sanitised) == 4
+
+
+def test_secrets_short_broken_and_without_digits(spark):
+    text = "password=hunter2x and db_password: 'p@ss!w0rd#x.y' or token = abcdEFGHijklMNOPqrst ghp_abcdefghijKLMNOPqrstuvwxyzABCDEFghij end"
+    rows = [(1, text, "src"), (2, "no password here", "src"), (3, None, None)]
+    got = [(r.doc_id, r.value) for r in secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).orderBy("doc_id", "start").collect()]
+    assert got == [(1, "hunter2x"), (1, "p@ss!w0rd#x.y"), (1, "abcdEFGHijklMNOPqrst"), (1, "ghp_abcdefghijKLMNOPqrstuvwxyzABCDEFghij")]
