@@ -3,45 +3,112 @@
 A seed starts at every word of a test item and is the shortest run of at least MIN_SEED words whose
 information under the corpus's word frequencies reaches SEED_BITS; so a seed is long where its words
 are common and short where they are rare, and how often seeds meet by chance does not depend on how
-often an item was copied. Documents that hold a seed are aligned with its item over the surrounding
-words (match +2, other word -1, gap -1); an item leaks into a document when the best local alignment
-reaches MIN_SCORE of the score of a perfect copy.
-
-The items are read in blocks of at most BLOCK_ITEMS, each block's index being broadcast; further blocks
-are further passes over the documents, so what is broadcast is bounded whatever the benchmark's size.
-Word frequencies are counted over all documents.
+often an item was copied. Seeds of the documents are joined to those of the items by a 64-bit hash of
+their words. Documents that hold a seed are aligned with its item over the surrounding words (match +2,
+other word -1, gap -1); an item leaks into a document when the best local alignment reaches MIN_SCORE of
+the score of a perfect copy.
+
+Documents are read three times: to count the words of the items, over all documents; to send the runs
+that may be seeds, which a mask of the items' seeds picks (2**MASK_BITS slots at most; a fuller mask lets
+more rows through to the join, never fewer); and, of those that hold a seed only, to align. Items are
+nowhere held together: neither their number nor that of their words is bounded, and items of equal text
+are joined and aligned once. What is broadcast is the mask, and seeds, hits and leaking rows up to
+BROADCAST_ROWS of them, counted; beyond, they are joined by shuffles.
 
 Nulls and odd input: null texts and items count as empty and never match; items whose whole text holds
-less than SEED_BITS of information cannot be told from chance and are skipped. Repeated documents and
-items each give their own rows. Extra columns are ignored by `leaks` and carried by `drop_leaking`.
+less than SEED_BITS of information cannot be told from chance and are skipped. Long texts are read whole;
+only the words around seeds are aligned. Repeated documents and items each give their own rows; rows are
+told by key and text, so null and repeated keys do no harm. Of alignments of one score the first found
+stands. Without documents or items nothing leaks. Extra columns are ignored by `leaks` and carried by
+`drop_leaking`.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import durable, pieces, unused
+from millrace.llm.simhash import identified, numbered
 
 TOKEN = re.compile(r"\w+")
 MIN_SEED = 3
+#: A seed of more words than this is cut; what it then lacks in information the alignment makes good.
+MAX_SEED = 62
 SEED_BITS = 30.0
 MIN_SCORE = 0.5
-BLOCK_ITEMS = 20_000
+MASK_BITS = 22
+BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1_000_000
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POSITIVE = np.int64((1 << 63) - 1)
+_remembered: dict[str, int] = {}
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def hashes(text: str | None) -> list[int]:
+    """A hash for each word of a text; 0 is none's."""
+    if len(_remembered) > REMEMBERED:
+        _remembered.clear()
+    out, look = [], _remembered.get
+    for w in tokens(text):
+        h = look(w)
+        if h is None:
+            h = _remembered[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
+        out.append(h)
+    return out
+
+
+def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, a 0 after each text; where each text begins."""
+    held, begins = [], []
+    for t in texts:
+        begins.append(len(held))
+        held += hashes(t)
+        held.append(0)
+    return np.array(held, dtype=np.uint64), np.array(begins, dtype=np.int64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(n, dtype=np.uint64)
+    p[1:] = np.uint64(base)
+    return np.multiply.accumulate(p)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Runs:
+    """Hashes of runs of words."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(_mixed(words) * _powers(_BASE, len(words)), out=self.sums[1:])
+        self.back = _powers(_INVERSE, len(words) + 1)
+
+    def of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """The hash of the n words from each place."""
+        return _mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + np.asarray(n, dtype=np.uint64))
+
+
+def slots(prefixes: np.ndarray, bits: int) -> np.ndarray:
+    return (prefixes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score over words, with the passage range it covers. Words are numbers; -1 equals nothing."""
     n = len(passage)
@@ -68,173 +135,173 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, lo, hi
 
 
-@dataclass
-class Block:
-    """Some test items with their seeds."""
-
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    items: list[tuple[object, np.ndarray]] = field(default_factory=list)
-    bits: np.ndarray | None = None
-    prefixes: np.ndarray | None = None
-    seeds: dict[tuple[int, ...], list[tuple[int, int]]] = field(default_factory=dict)
-    lengths: dict[tuple[int, ...], list[int]] = field(default_factory=dict)
-    done: dict[tuple[int, bytes], tuple[int, int, int]] = field(default_factory=dict)
-
-    @classmethod
-    def of(cls, rows: list[tuple[object, str | None]]) -> Block:
-        b = cls()
-        for key, text in rows:
-            b.items.append((key, np.array([b.vocabulary.setdefault(t, len(b.vocabulary)) for t in tokens(text)], dtype=np.int64)))
-        return b
-
-    def seed(self, counts: dict[int, int], total: int) -> None:
-        """Choose the seeds, from how often the vocabulary's words stand in the corpus."""
-        size = len(self.vocabulary)
-        share = np.array([max(counts.get(k, 0), 1) for k in range(size)], dtype=float) / max(total, 1)
-        self.bits = -np.log2(np.minimum(share, 1.0)) if size else np.zeros(0)
-        lengths: dict[tuple[int, ...], set[int]] = {}
-        for k, (_, words) in enumerate(self.items):
-            for i in range(len(words) - MIN_SEED + 1):
-                held = float(self.bits[words[i : i + MIN_SEED]].sum())
-                end = i + MIN_SEED
-                while held < SEED_BITS and end < len(words):
-                    held += float(self.bits[words[end]])
-                    end += 1
-                if held >= SEED_BITS:
-                    gram = tuple(int(x) for x in words[i:end])
-                    self.seeds.setdefault(gram, []).append((k, i))
-                    lengths.setdefault(gram[:MIN_SEED], set()).add(len(gram))
-        self.lengths = {k: sorted(v) for k, v in lengths.items()}
-        self.prefixes = np.unique(np.array([self.pack(k) for k in self.lengths], dtype=np.int64))
-
-    def pack(self, gram: tuple[int, ...]) -> int:
-        v = 0
-        for x in gram:
-            v = v * max(len(self.vocabulary), 1) + x
-        return v
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all texts as numbers (-1: not in the items), a -1 after each text; where each text begins."""
-        look, flat, begins = self.vocabulary.get, [], []
-        for t in texts:
-            begins.append(len(flat))
-            if t:
-                flat += [look(x, -1) for x in TOKEN.findall(t.lower())]
-            flat.append(-1)
-        return np.array(flat, dtype=np.int64), np.array(begins, dtype=np.int64)
-
-    def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, score, first word, word after the last) of every leak; the best of each text and item."""
-        if self.prefixes is None or not len(self.prefixes):
-            return
-        ids, begins = self.numbers(texts)
-        if len(ids) <= MIN_SEED:
-            return
-        v = len(self.vocabulary)
-        packed = np.zeros(len(ids) - MIN_SEED + 1, dtype=np.int64)
-        whole = np.ones(len(packed), dtype=bool)
-        for j in range(MIN_SEED):
-            part = ids[j : len(ids) - MIN_SEED + 1 + j]
-            packed = packed * v + part
-            whole &= part >= 0
-        at = np.flatnonzero(whole)
-        at = at[self.prefixes[np.minimum(np.searchsorted(self.prefixes, packed[at]), len(self.prefixes) - 1)] == packed[at]]
-        near: dict[tuple[int, int], set[int]] = {}
-        for p in at.tolist():
-            doc = int(np.searchsorted(begins, p, side="right")) - 1
-            for n in self.lengths[tuple(ids[p : p + MIN_SEED].tolist())]:
-                for k, i in self.seeds.get(tuple(ids[p : p + n].tolist()), ()):
-                    near.setdefault((doc, k), set()).add(p - i)
-        ends = np.append(begins[1:], len(ids)) - 1
-        for (doc, k), starts in near.items():
-            item, best = self.items[k][1], (0, 0, 0)
-            m, reach, todo = len(item), -1, sorted(starts)
-            for s in todo:
-                if s + 2 * m <= reach:
-                    continue  # within what was aligned
-                lo, hi = max(int(begins[doc]), s - m), min(int(ends[doc]), s + 3 * m)
-                reach = hi
-                passage = ids[lo:hi]
-                if (got := self.done.get(known := (k, passage.tobytes()))) is None:
-                    if len(self.done) > 5000:
-                        self.done.clear()
-                    got = self.done[known] = align(item, passage)
-                if got[0] > best[0]:
-                    best = (got[0], got[1] + lo - int(begins[doc]), got[2] + lo - int(begins[doc]))
-            if best[0] >= MIN_SCORE * 2 * m:
-                yield doc, k, *best
-
-
-def _count(documents: DataFrame, block: Block, text: str) -> tuple[dict[int, int], int]:
-    """How often each word of the block, and any word at all (number -1), stands in the documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(block)
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def word_counts(documents: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how often each of words (a hash, column word) stands in the documents, and in row 0 how many words of any kind do."""
+    slot = F.shiftrightunsigned("word", 64 - MASK_BITS).cast("int")
+    wanted = np.zeros(1 << MASK_BITS, dtype=bool)
+    wanted[words.select(slot.alias("s")).distinct().toArrow().column(0).to_numpy()] = True  # at most 2**MASK_BITS rows
+    shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        total = np.zeros(len(b.vocabulary) + 1, dtype=np.int64)
-        for x in batches:
-            texts = x.column(0).to_pylist()
-            total += np.bincount(b.numbers(texts)[0] + 1, minlength=len(total))
-            total[0] -= len(texts)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(total[at])], ["word", "n"])
-
-    rows = documents.select(F.col(text).alias("_text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = {r["word"]: r["n"] for r in rows}  # as many as the block has words
-    return counts, sum(counts.values())
-
-
-def blocks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = BLOCK_ITEMS) -> Iterator[Block]:
-    """The seeded blocks of the benchmark. The driver holds one block at a time."""
-    small_batches(documents.sparkSession)
-    items = benchmark.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"))
-    n = max(1, math.ceil(items.count() / (size * 0.8)))
-    for part in range(n):
-        rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == part) if n > 1 else items
-        block = Block.of([(r["k"], r["t"]) for r in rows.collect()])
-        block.seed(*_count(documents, block, text))
-        yield block
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = BLOCK_ITEMS) -> DataFrame:
-    """A row for each document and item that leaks into it: keys, score (1: perfect copy), the document's words it covers."""
-    kind = dict(documents.dtypes)[key], dict(benchmark.dtypes)[item_key]
-    schema = f"{key} {kind[0]}, {item_key} {kind[1]}, score double, first_word long, end_word long"
-    names = [key, item_key, "score", "first_word", "end_word"]
-    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
-    out = None
-    for block in blocks(documents, benchmark, text, item_key, item_text, size):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            for x in batches:
-                found = list(b.find(x.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        x.column(0).take(pa.array([f[0] for f in found], pa.int64())),
-                        pa.array([b.items[f[1]][0] for f in found], item_type),
-                        pa.array([f[2] / (2 * len(b.items[f[1]][1])) for f in found], pa.float64()),
-                        pa.array([f[3] for f in found], pa.int64()),
-                        pa.array([f[4] for f in found], pa.int64()),
-                    ],
-                    names,
-                )
-
-        part = documents.select(F.col(key), F.col(text)).mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        mask, total, parts, held = shared.value, 0, [], 0
+
+        def counted() -> pa.RecordBatch:
+            w = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, dtype=np.uint64)
+            n = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, dtype=np.int64)
+            w, at = np.unique(w, return_inverse=True)
+            sums = np.bincount(at, weights=n, minlength=len(w)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(w.view(np.int64), 0)), pa.array(np.append(sums, total))], ["word", "n"])
+
+        for x in pieces(batches):
+            ids, begins = flat(x.column(0).to_pylist())
+            total += len(ids) - len(begins)
+            some = ids[mask[slots(ids, MASK_BITS)] & (ids != 0)]
+            parts.append(np.unique(some, return_counts=True))
+            held += len(parts[-1][0])
+            if held > REMEMBERED:
+                yield counted()
+                total, parts, held = 0, [], 0
+        yield counted()
+
+    counts = documents.select(F.col(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return durable(counts)
+
+
+def seeds(items: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
+    """seed, prefix, n (words), item, at: the seeds of items (item, words)."""
+    placed = items.select("item", F.posexplode("words").alias("at", "word"))
+    counts = word_counts(documents, placed.select("word"), text)
+    total = counts.where("word = 0").select(F.col("n").alias("total"))
+    bits = F.log2(F.greatest("total", F.lit(1)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
+    # as many rows as an item has words
+    weighed = placed.join(counts.where("word <> 0"), "word", "left").crossJoin(F.broadcast(total)).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.greatest(bits, F.lit(0.0)).alias("bits")))).alias("w"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches):
+            out: list[list] = [[], [], [], [], []]
+            for item, held in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                words = np.array([r["word"] for r in held], dtype=np.int64).view(np.uint64)
+                known = np.concatenate(([0.0], np.cumsum([r["bits"] for r in held])))
+                m = len(words)
+                if m < MIN_SEED:
+                    continue
+                start = np.arange(m - MIN_SEED + 1)
+                n = np.maximum(np.searchsorted(known, known[:-1] + SEED_BITS - 1e-9)[: len(start)] - start, MIN_SEED)
+                whole = start + n <= m
+                start, n = start[whole], np.minimum(n[whole], MAX_SEED)
+                runs = Runs(words)
+                for column, v in zip(out, (runs.of(start, n).view(np.int64), runs.of(start, MIN_SEED).view(np.int64), n, np.full(len(start), item), start), strict=True):
+                    column += v.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["seed", "prefix", "n", "item", "at"])
+
+    return durable(weighed.mapInArrow(run, "seed long, prefix long, n long, item long, at long"))
+
+
+def hits(rows: DataFrame, sown: DataFrame, text: str = "text") -> DataFrame:
+    """a, b, item, starts: where in the rows (a, b and text) an item would begin, by the seeds that stand there."""
+    bits = min(MASK_BITS, max(12, (8 * sown.count()).bit_length()))
+    lengths = sown.groupBy(F.shiftrightunsigned("prefix", 64 - bits).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(n as int))")).alias("n")).toArrow()  # at most 2**bits rows
+    mask = np.zeros(1 << bits, dtype=np.int64)
+    mask[lengths.column("slot").to_numpy()] = lengths.column("n").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
 
-def drop_leaking(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = BLOCK_ITEMS) -> DataFrame:
-    """documents, with all their columns, without those into which an item leaks."""
-    for block in blocks(documents, benchmark, text, item_key, item_text, size):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = shared.value
+        used = [n for n in range(MIN_SEED, MAX_SEED + 1) if (sought >> n & 1).any()]
+        for x in pieces(batches):
+            words, begins = flat(x.column(2).to_pylist())
+            if len(words) <= MIN_SEED:
+                continue
+            runs, ends = Runs(words), np.append(begins[1:], len(words)) - 1
+            at = np.arange(len(words) - MIN_SEED)
+            held = sought[slots(runs.of(at, MIN_SEED), bits)]
+            at = at[held != 0]
+            held, doc = held[held != 0], np.searchsorted(begins, at, side="right") - 1
+            parts = []
+            for n in used:
+                some = np.flatnonzero((held >> n & 1 == 1) & (at + n <= ends[doc]))
+                parts.append((doc[some], runs.of(at[some], n).view(np.int64), at[some] - begins[doc[some]]))
+            if parts:
+                doc, seed, place = (np.concatenate(v) for v in zip(*parts, strict=True))
+                of = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([x.column(0).take(of), x.column(1).take(of), pa.array(seed), pa.array(place)], ["a", "b", "seed", "place"])
+
+    found = rows.select("a", "b", text).mapInArrow(run, "a long, b long, seed long, place long")
+    met = found.join(_bounded(sown.select("seed", "item", "at")), "seed").select("a", "b", "item", (F.col("place") - F.col("at")).alias("start"))
+    return durable(met.groupBy("a", "b", "item").agg(F.sort_array(F.collect_set("start")).alias("starts")))  # no more than the text's words
+
+
+def aligned(rows: DataFrame, benchmark_items: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """a, b, item, score, first_word, end_word of every leak; rows: a, b and text."""
+    with_words = found.join(_bounded(benchmark_items), "item")
+    # what is gathered for a text: the items of which it holds a seed
+    of_text = durable(with_words.groupBy("a", "b").agg(F.collect_list(F.struct("item", "words", "starts")).alias("asked")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        for x in pieces(batches):
+            out = []
+            for a, b, t, asked in zip(*(x.column(c).to_pylist() for c in range(4)), strict=True):
+                words = np.array(hashes(t), dtype=np.uint64).view(np.int64) & _POSITIVE
+                for r in asked:
+                    item, best = np.array(r["words"], dtype=np.int64) & _POSITIVE, (0, 0, 0)
+                    m, reach = len(item), -1
+                    for s in r["starts"]:
+                        if s + 2 * m <= reach:
+                            continue  # within what was aligned
+                        lo, hi = max(0, s - m), min(len(words), s + 3 * m)
+                        reach, passage = hi, words[lo:hi]
+                        if (got := done.get(known := (r["item"], passage.tobytes()))) is None:
+                            if len(done) > 5000:
+                                done.clear()
+                            got = done[known] = align(item, passage)
+                        if got[0] > best[0]:
+                            best = (got[0], got[1] + lo, got[2] + lo)
+                    if best[0] >= MIN_SCORE * 2 * m:
+                        out.append((a, b, r["item"], best[0] / (2 * m), best[1], best[2]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "item", "score", "first_word", "end_word"])
+
+    texts = rows.join(_bounded(of_text), ["a", "b"]).select("a", "b", text, "asked")
+    return texts.mapInArrow(run, "a long, b long, item long, score double, first_word long, end_word long")
+
+
+def _item(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _leaks(documents: DataFrame, benchmark: DataFrame, key: str, text: str, item_text: str) -> DataFrame:
+    """aligned() for the rows of documents; equal rows are aligned once or more."""
+    spark = documents.sparkSession
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches):
+            held = [np.array(hashes(t), dtype=np.uint64).view(np.int64).tolist() for t in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(held, pa.list_(pa.int64()))], ["item", "words"])
+
+    items = benchmark.select(_item(F.col(item_text)).alias("item"), F.col(item_text)).where(F.col(item_text).isNotNull()).dropDuplicates(["item"]).mapInArrow(words, "item long, words array<long>")
+    items = durable(items)
+    sown = seeds(items, documents, text)
+    if sown.isEmpty():
+        return spark.createDataFrame([], "a long, b long, item long, score double, first_word long, end_word long")
+    rows = identified(documents, key, text)
+    return durable(aligned(rows, items, hits(rows, sown, text), text))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that leaks into it: keys, score (1: perfect copy), the document's words it covers."""
+    found = _leaks(documents, benchmark, key, text, item_text).dropDuplicates(["a", "b", "item"])
+    ids = benchmark.select(_item(F.col(item_text)).alias("item"), F.col(item_key).alias("_item_key"))
+    leaking = identified(documents, key, text).select("a", "b", F.col(key).alias("_key")).join(_bounded(found), ["a", "b"])
+    return leaking.join(_bounded(ids), "item").select(F.col("_key").alias(key), F.col("_item_key").alias(item_key), "score", "first_word", "end_word")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                leaking = {f[0] for f in shared.value.find(x.column(text).to_pylist())}
-                yield x.filter(pa.array([k not in leaking for k in range(x.num_rows)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+def drop_leaking(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """documents, with all their columns, without those into which an item leaks."""
+    a, b = unused(documents, "_a"), unused(documents, "_b")
+    gone = durable(_leaks(documents, benchmark, key, text, item_text).select(F.col("a").alias(a), F.col("b").alias(b)).distinct())
+    return numbered(documents, key, text, a, b).join(_bounded(gone), [a, b], "left_anti").select(documents.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import pieces
 
 PROFILE = 300
 MAX_TRAINING_DOCS = 4000
@@ -93,7 +93,6 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", length: int = PROFILE, max_docs: int = MAX_TRAINING_DOCS) -> Profiles:
     """Profiles of the languages of `labelled`."""
     spark = labelled.sparkSession
-    small_batches(spark)
     rows = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
     # a row for each language: as many as there are languages
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
@@ -105,7 +104,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     taken = rows.where(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(6)), F.lit(1_000_003)) < rate * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             by: dict[str, list[np.ndarray]] = {}
             for name, t in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
                 by.setdefault(name, []).append(ngrams(t))
@@ -135,14 +134,13 @@ def least_score(labelled: DataFrame, profiles: Profiles, text: str = "text", lan
 
 def identify(documents: DataFrame, profiles: Profiles, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents with two more columns; what else they hold passes unread."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
     schema = T.StructType([f for f in documents.schema.fields if f.name not in into] + [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     keep = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
+        for b in pieces(batches):
             found = [p.predict(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*keep, *into])
 

@@ -1,7 +1,8 @@
 """Operator 2, personal data: fixed patterns, then information-theoretic sanitisation.
 
 The values that the patterns find (e-mail addresses, IP addresses, card and telephone numbers) are the
-protected entities. The words of the texts that hold them are candidate terms. Over the whole corpus, counted by distinct text,
+protected entities, and so are the groups that they belong to (mail domain, address block, card issuer,
+dialling code), as a value may be too rare for any count to tell. The words of the texts that hold them are candidate terms. Over the whole corpus, counted by distinct text,
 IC(e) = -log2 p(e) is an entity's information and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) what a term
 tells of it; a term with PMI >= IC / ALPHA discloses the entity. It is removed where it tells all
 (PMI >= REMOVE * IC) and generalised to its entity's kind otherwise. Every observed pair is judged, and
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import resemblance
 from millrace.llm.common import durable, let
-from millrace.llm.spans import matches
+from millrace.llm.spans import matches, running, substrings
 
 #: The kinds in the order that breaks ties, with their patterns. They match what the
 #: plain forms match; possessive repeats and the tests on what precedes keep them linear.
@@ -97,6 +98,13 @@ def _tells(total: int, tested: int, n_entity: Column, n_term: Column, n_both: Co
     return ic, pmi, (ic > 0) & (pmi >= ic / ALPHA - 1e-9) & sure
 
 
+def _group(span: Column) -> Column:
+    """The group of a value, written so that it equals no value: a domain, an address block of 256, an issuer, a dialling code."""
+    digits = F.regexp_replace(span["value"], "[^0-9]", "")
+    of = [F.regexp_extract(span["value"], "@.*", 0), F.regexp_extract(span["value"], r"^(?:[0-9]+\.){3}", 0), F.substring(digits, 1, 6), F.concat(F.lit("+"), F.substring(digits, 1, 4))]
+    return F.concat(F.lit("group "), F.get(F.array(*of), span["kind"]))
+
+
 def disclosing(found: DataFrame) -> DataFrame:
     """term, kind, removed: the terms that disclose an entity, each with the kind that it tells most of.
 
@@ -104,7 +112,8 @@ def disclosing(found: DataFrame) -> DataFrame:
     """
     spark = found.sparkSession
     schema = "term string, kind int, removed boolean"
-    entities = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    # an entity is a string, its kind first: equal strings are found by hash, equal structs by comparing all with all
+    entities = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(F.concat(s["kind"].cast("string"), s["value"]), F.concat(s["kind"].cast("string"), _group(s))))))
     holding = found.where(F.size("base") > 0).select(F.xxhash64("_text").alias("d"), F.struct("_text", entities.alias("entities"), F.array_distinct(_terms(F.regexp_replace("_text", PATTERNS["email"], " "))).alias("terms")).alias("x"))
     holding = durable(holding.groupBy("d").agg(F.first("x").alias("x")).select("d", "x.*"))
     if holding.isEmpty():
@@ -116,13 +125,13 @@ def disclosing(found: DataFrame) -> DataFrame:
     total = found.agg(F.count_distinct(F.xxhash64("_text"))).first()[0] - counted["d"] + counted["g"]
     held = holding.join(copies, "d").select("g", "entities", "terms")
     tested = held.agg(F.sum(F.size("entities") * F.size("terms"))).first()[0] or 1
-    of_entity = held.select("g", F.explode("entities").alias("e"), "terms").select("g", "e.*", "terms")
-    entity_docs = of_entity.select("g", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    of_entity = held.select("g", F.explode("entities").alias("entity"), "terms")
+    entity_docs = of_entity.select("g", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # entities in so few texts that no term could be told from chance, and then terms that are too common in the texts of
     # any entity (a part of those that hold the term), leave before the corpus is searched; neither changes the result
     open_ = entity_docs.where(_tells(total, tested, F.col("n_entity"), F.col("n_entity"), F.col("n_entity"))[2])
-    pairs = of_entity.join(open_, ["kind", "value"]).select("g", "kind", "value", "n_entity", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("kind", "value", "n_entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = of_entity.join(open_, "entity").select("g", "entity", "n_entity", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
     pairs = durable(pairs.where(_tells(total, tested, F.col("n_entity"), F.col("n_both"), F.col("n_both"))[2]))
     near = held.select("g", F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     support = durable(pairs.join(near, "term").where(_tells(total, tested, F.col("n_entity"), F.col("n_near"), F.col("n_both"))[2]))
@@ -135,7 +144,7 @@ def disclosing(found: DataFrame) -> DataFrame:
     texts = found.select(F.xxhash64("_text").alias("d"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(small, "term", "left_semi").distinct()
     term_docs = texts.join(copies, "d", "left").select("term", F.coalesce("g", "d").alias("g")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     ic, pmi, told = _tells(total, tested, F.col("n_entity"), F.col("n_term"), F.col("n_both"))
-    best = support.join(term_docs, "term").where(told).groupBy("term").agg(F.min(F.struct((-pmi / ic).alias("told"), F.col("kind").alias("kind"))).alias("b"))
+    best = support.join(term_docs, "term").where(told).groupBy("term").agg(F.min(F.struct((-pmi / ic).alias("told"), F.substring("entity", 1, 1).cast("int").alias("kind"))).alias("b"))
     return durable(best.select("term", F.col("b.kind").alias("kind"), (F.col("b.told") <= -REMOVE).alias("removed")))
 
 
@@ -157,6 +166,14 @@ def _told(text: Column, slots: Column, n: int) -> Column:
     return let(F.flatten(F.transform(F.array_distinct(_terms(text)), of_word)), lambda t: F.when(F.size(t) > 0, t))
 
 
+def _without_overlaps(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap a base span: one that begins before them and ends within or after, or one that begins within them."""
+    base = lambda s, value, other: F.when(s["kind"] < TERM_KIND, value.cast("long")).otherwise(F.lit(other).cast("long"))
+    upto = running(F.transform(spans, lambda s: base(s, s["end"], 0)), lambda a, x: F.greatest(a, x))
+    after = F.reverse(running(F.reverse(F.transform(spans, lambda s: base(s, s["start"], 1 << 40))), lambda a, x: F.least(a, x)))
+    return let(upto, lambda u: let(after, lambda d: F.filter(spans, lambda s, k: (s["kind"] < TERM_KIND) | ((F.get(u, k) <= s["start"]) & (F.get(d, k) >= s["end"])))))
+
+
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """key (and columns), _text (null as empty), base, and spans: base and term spans, sorted; a term's value is its replacement."""
     given = documents.select(key, *columns, F.col(text).alias("_given"), F.coalesce(text, F.lit("")).alias("_text"))
@@ -183,24 +200,28 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", columns:
             let(F.filter("told", lambda t: t["term"] == F.lower(w["value"])), lambda t: F.when(F.size(t) == 0, F.lit(None)).when(F.get(t, F.lit(0))["removed"], F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(F.get(names, F.get(t, F.lit(0))["kind"])), F.lit("-RELATED>")))).alias("value"),
         ),
     )
-    free = F.filter(hits, lambda h: h["value"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    spans = F.when(F.col("told").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", free)))
-    return joined_up.withColumn("spans", spans).drop("told")
+    # in steps, as the analyzer resolves one level of nested functions at a time; texts without a term take none of them
+    some = F.col("told").isNotNull()
+    joined_up = joined_up.withColumn("hits", F.when(some, F.filter(hits, lambda h: h["value"].isNotNull())))
+    joined_up = joined_up.withColumn("hits", F.when(some, F.sort_array(F.concat("base", "hits"))))
+    return joined_up.withColumn("spans", F.when(some, _without_overlaps(F.col("hits"))).otherwise(F.col("base"))).drop("told", "hits")
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """text with its spans replaced: <KIND> for a base span, its own replacement for a term; what overlaps is replaced once."""
+    """text with its spans (sorted, at least one) replaced: <KIND> for a base span, its own replacement for a term; what overlaps is replaced once, as its first span."""
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     put = lambda s: F.when(s["kind"] == TERM_KIND, s["value"]).otherwise(F.get(labels, s["kind"]))
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), put(s)).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    reach = running(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, x: F.greatest(a, x))
+
+    def built(upto: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(upto, k - 1))
+        placed = F.transform(spans, lambda s, k: F.struct(before(k).alias("start"), s["start"].cast("long").alias("end"), put(s).alias("put")))
+        first = F.filter(placed, lambda p: p["end"] >= p["start"])
+        tail = F.substring(text, (F.element_at(upto, -1) + 1).cast("int"), F.length(text))
+        joined_up = lambda f: F.array_join(F.zip_with(substrings(text, f), f, lambda gap, p: F.concat(gap, p["put"])), "")
+        return F.concat(let(first, joined_up), tail)
+
+    return let(reach, built)
 
 
 def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

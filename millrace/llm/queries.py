@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, urls, warc
-from millrace.llm.common import scratch, table
+from millrace.llm.common import discard, scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.digest(warc.captures(spark, path, payload=False))
+    found = warc.captures(spark, path, payload=False)
+    discard(spark, path)  # read into a table of records, of which the result is made
+    return warc.digest(found)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

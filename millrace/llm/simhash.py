@@ -3,18 +3,27 @@
 A 64-bit fingerprint is cut into three segments, each padded with zeros to the 23 bits of the perfect
 Golay code. A segment is decoded together with its 23 neighbours at one bit: this gives one codeword
 index if it lies within two bits of a codeword and six if it lies at three, and any two segments up to
-two bits apart share an index (both keep that of the word between them). Four differing bits leave at
-most one segment with three or more errors (pigeonhole), so two fingerprints that link share the pair
-of indices of some two segments. Fingerprints, not documents, are keyed: copies are joined first.
+two bits apart share an index (both keep that of the word between them). Two fingerprints four bits apart
+or less are caught by one of two kinds of keys (pigeonhole):
 
-In a bucket of equal keys the fingerprints are compared and only a spanning forest of the links leaves
-it; a cluster of any size sends one row less than it has members, never its pairs. Components come from
-randomised contraction of the forest, each round cut by a durable checkpoint.
+* Some segment has no error. Of the other two one has at most two, so they share a key made of the whole
+  segment and an index of another.
+* Each segment has one or two errors, so two have one each. One half of each of those is without error,
+  so they share a key made of these halves and an index of the third segment.
+
+Keys hold 31 to 34 bits, so buckets of chance meetings stay small up to some 10**10 fingerprints.
+Fingerprints, not documents, are keyed: copies are joined first, so what a bucket can hold much of is
+near copies of one text. Buckets of up to SMALL_BUCKET fingerprints let out each of their links, larger
+ones a spanning forest of the links only: a cluster of any size sends one row less than it has members.
+Components come from randomised contraction of the forest, each round cut by a durable checkpoint.
 
 Nulls and odd input: null and empty texts have no shingle and the fingerprint zero, which links like
-any other. A text of fewer words than a shingle is one shingle. Repeated rows give repeated results.
-A null key never becomes a component's name unless all of its keys are null. Extra columns pass through
-`deduplicate` and are ignored elsewhere.
+any other. A text of fewer words than a shingle is one shingle; a long text is read whole. Repeated rows
+give repeated results; `deduplicate` tells rows by key and text, so that rows of one key and different
+texts are judged apart. A null key never becomes a component's name unless all of its keys are null. Ties
+do not arise: the smallest key names a component, and of rows with that key `deduplicate` keeps the one
+whose hash is least. Extra columns pass through `deduplicate` and are ignored elsewhere. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +33,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, small_batches
+from millrace.llm.common import durable, pieces, unused
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -38,6 +47,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Buckets up to this size are compared by shifts of all buckets at once, larger ones one at a time.
 SMALL_BUCKET = 32
+#: Up to so many components of several nodes, counted, their names are broadcast.
+BROADCAST_GROUPS = 1_000_000
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -87,20 +98,33 @@ def segment_keys(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all fingerprints; a key holds the pair of segments and an index of each."""
+    """(row, key) of all fingerprints; a key holds its kind and what it is made of."""
     unsigned = fingerprints.view(np.uint64)
-    parts = [segment_keys(((unsigned >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)) for at, width in SEGMENTS]
+    whole = [((unsigned >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
+    near = [segment_keys(w) for w in whole]
+    halves = [(w & 0x7FF, w >> 11) for w in whole]
+    # (what must be equal, the segment whose index is taken)
+    exact = [(whole[c], k) for c in range(3) for k in range(3) if k != c]
+    exact += [(halves[a][i] << 11 | halves[b][j], c) for a, b, c in ((0, 1, 2), (0, 2, 1), (1, 2, 0)) for i in range(2) for j in range(2)]
     rows, found = [], []
-    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (ka, na), (kb, nb) = parts[a], parts[b]
-        for i in range(6):
-            for j in range(6):
-                at = np.flatnonzero((na > i) & (nb > j))
-                rows.append(at)
-                found.append((pair << 24) | (ka[at, i] << 12) | kb[at, j])
+    for kind, (held, c) in enumerate(exact):
+        index, many = near[c]
+        for i in range(index.shape[1]):
+            at = np.flatnonzero(many > i)
+            rows.append(at)
+            found.append(kind << 36 | held[at] << 12 | index[at, i])
     return np.concatenate(rows), np.concatenate(found)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed number whose bits are set where they are in more than half of the 64-bit hashes."""
+    n, set_bits = len(hashes), np.zeros(64, dtype=np.int64)
+    for k in range(0, n, 100_000):
+        some = hashes[k : k + 100_000].astype("<u8")
+        set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The fingerprint as a signed 64-bit number."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -114,23 +138,36 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         starts = np.concatenate(([0], ends[:-1]))[: len(words) - SHINGLE + 1].tolist()
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
-    n, set_bits = len(hashes), np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 100_000):
-        some = np.array(hashes[k : k + 100_000], dtype="<u8")
-        set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    value = np.packbits(2 * set_bits > n, bitorder="little").view("<i8")
-    return int(value[0])
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def _hash_a(key: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(1), key, text, text.isNull())
+
+
+def _hash_b(key: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(2), text, text.isNull(), key)
+
+
+def numbered(documents: DataFrame, key: str, text: str, a: str, b: str) -> DataFrame:
+    """documents with the two hashes of identified() in columns a and b."""
+    return documents.withColumns({a: _hash_a(F.col(key), F.col(text)), b: _hash_b(F.col(key), F.col(text))})
+
+
+def identified(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """a, b (128 bits of hash of key and text, which tell rows apart whatever their keys), key and text."""
+    k, t = F.col(key), F.col(text)
+    return documents.select(_hash_a(k, t).alias("a"), _hash_b(k, t).alias("b"), k, t)
 
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key of each row with its fingerprint, column fp."""
-    small_batches(documents.sparkSession)
+    """a, b (see identified), the key of each row and its fingerprint, column fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], [key, "fp"])
+        for x in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([fingerprint(t) for t in x.column(3).to_pylist()], pa.int64())], ["a", "b", key, "fp"])
 
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, fp long")
+    return identified(documents, key, text).mapInArrow(run, f"a long, b long, {key} {dict(documents.dtypes)[key]}, fp long")
 
 
 def forest(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -151,7 +188,6 @@ def forest(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within the buckets of one partition, whose rows come sorted by key. A bucket that goes on in the next batch waits for it."""
-    held_k, held_f = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def work(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(k):
@@ -172,19 +208,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.array(forest(f[at : at + n]), dtype=np.int64).reshape(-1, 2)
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
-        x, y = np.concatenate(a) if a else held_k[:0], np.concatenate(b) if b else held_k[:0]
+        x, y = (np.concatenate(v) if v else k[:0] for v in (a, b))
         pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of what is not done, joined once their last bucket ends
     for batch in batches:
-        k = np.concatenate((held_k, batch.column(0).to_numpy()))
-        f = np.concatenate((held_f, batch.column(1).to_numpy()))
+        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1]))
-        yield from work(k[:cut], f[:cut])
-        held_k, held_f = k[cut:], f[cut:]
-    yield from work(held_k, held_f)
+        if cut or (held and held[-1][0][-1] != k[0]):
+            held.append((k[:cut], f[:cut]))
+            yield from work(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            held = []
+        held.append((k[cut:], f[cut:]))
+    if held:
+        yield from work(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -231,28 +271,42 @@ def components(edges: DataFrame, most_rounds: int = 80) -> DataFrame:
     return roots.join(least, "root").select("node", F.least("root", "least").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of documents: key, fp, component_id (the smallest key of its component)."""
+def named(distinct: DataFrame, tree: DataFrame, node: str) -> DataFrame:
+    """node, component_id, root of every row of distinct (node, first: its smallest key); tree: node and root of those that are linked."""
+    linked = durable(distinct.select(node, "first").join(tree.withColumnRenamed("node", node), node))
+    smallest = durable(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    # a component may hold most of the nodes: while the components are few, no node is shuffled to its own
+    few = smallest.count() <= BROADCAST_GROUPS
+    names = linked.join(F.broadcast(smallest) if few else smallest, "root").select(node, "component_id", "root")
+    alone = distinct.select(node, "first").join(linked.select(node), node, "left_anti").select(node, F.col("first").alias("component_id"), F.col(node).alias("root"))
+    return names.unionAll(alone)
+
+
+def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of documents: a, b (see identified), key, fp, component_id (the smallest key of its component), root (what tells components apart)."""
     prints = durable(fingerprints(documents, key, text))
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("first"))
-    tree = components(links(distinct))
-    labelled = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select(key, "fp", "component_id")
-
-
-def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """documents, with all their columns, without those whose component (by find) has a smaller key; repeated keys are kept once, null keys always."""
-    found = find(documents, key, text)
-    goes = F.coalesce(F.max(F.col("component_id") < F.col(key)), F.lit(False))
-    marked = durable(found.groupBy(key).agg(goes.alias("_goes"), F.count("*").alias("_n")).where("_goes or _n > 1"))
-    kept = documents.join(marked.where("_goes").select(key), key, "left_anti").select(documents.columns)
-    again = marked.where("not _goes").select(F.col(key).alias("_again"))
-    if again.isEmpty():
-        return kept
-    # only rows whose key stands more than once meet each other
-    same = kept[key].eqNullSafe(again["_again"])
-    once = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce(text, F.lit("")), 256)))
-    first = kept.join(again, same, "left_semi").withColumn("_once", once).dropDuplicates(["_once"]).drop("_once")
-    return kept.join(again, same, "left_anti").unionByName(first)
+    distinct = durable(prints.groupBy("fp").agg(F.min(key).alias("first")))
+    names = named(distinct, components(links(distinct)), "fp")
+    return prints.join(names, "fp").select("a", "b", key, "fp", "component_id", "root")
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of documents: key, fp, component_id."""
+    return grouped(documents, key, text).select(key, "fp", "component_id")
+
+
+def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = grouped) -> DataFrame:
+    """documents, with all their columns: of each component (by find) the one row whose key is smallest (null last), of its rows with that key the one whose hash is least."""
+    found = durable(find(documents, key, text).select("a", "b", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "a", "b").alias("_at"), "root"))
+    several = durable(found.groupBy("root").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("root", "_first"))
+    few = several.count() <= BROADCAST_GROUPS
+    goes = found.join(F.broadcast(several) if few else several, "root").where("_at <> _first").select("a", "b").distinct()
+    again = durable(found.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "b"))
+    a, b = unused(documents, "_a"), unused(documents, "_b")
+    goes, again = (x.select(F.col("a").alias(a), F.col("b").alias(b)) for x in (goes, again))
+    kept = numbered(documents, key, text, a, b).join(goes, [a, b], "left_anti")
+    if not again.isEmpty():
+        # only equal rows meet each other
+        once = kept.join(again, [a, b], "left_semi").dropDuplicates([a, b])
+        kept = kept.join(again, [a, b], "left_anti").unionByName(once)
+    return kept.select(documents.columns)

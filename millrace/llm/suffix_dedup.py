@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, durable, release, small_batches, spill
+from millrace.llm.common import discard, durable, pieces, release, spill
 
 LENGTH = 200
 GRAM = 32
@@ -218,10 +218,9 @@ def _construct_all(length: int):
 def repeats(documents: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """a, b, lo, hi: byte ranges that repeat in the texts whose hash is a, b. `documents` has the columns a, b and text."""
     spark = documents.sparkSession
-    small_batches(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in pieces(batches):
             of, start, n, at, mh, ch = runs([t.encode("utf-8") if t else b"" for t in x.column(2).to_pylist()], length, gram)
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([x.column(0).take(take), x.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(mh), pa.array(ch)], ["a", "b", "start", "n", "at", "mh", "ch"])
@@ -241,7 +240,7 @@ def repeats(documents: DataFrame, text: str = "text", length: int = LENGTH, gram
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in pieces(batches):
             rows = []
             for a, b, t, wanted in zip(*(x.column(c).to_pylist() for c in range(4)), strict=True):
                 data = t.encode("utf-8")
@@ -265,7 +264,7 @@ def remove(documents: DataFrame, key: str = "doc_id", text: str = "text", length
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in pieces(batches):
             out = []
             for t, ranges in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
                 data, spans = t.encode("utf-8"), []

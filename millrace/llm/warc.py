@@ -8,10 +8,11 @@ text files whose line separator is the record's closing CRLF CRLF, so a file is
 and assembles a capture by joining the three records on the concurrent-to identifiers.
 
 Nulls and odd input: a null url leaves WARC-Target-URI out and a null html is an empty payload. A null
-page id stands last in order and is written as an empty field. Pages with equal ids and equal content
-are numbered, so that each row gives a capture; of equal payloads exactly one row is the response. CR
-and LF in a url are percent-encoded. Extra columns are ignored. An empty table gives an archive without
-records and no captures.
+page id stands last in order and is written as an empty field. Pages equal in id, url and content are
+numbered, so that each row gives a capture: they are counted, one of them is kept and written as often as
+it stood, from many tasks if that is often. Of equal payloads exactly one row is the response: ties in id go
+to the smaller url, null first. CR and LF in a url are percent-encoded. A long payload is one record, held
+whole by one task. Extra columns are ignored. An empty table gives an archive without records and no captures.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import durable, release
+from millrace.llm.common import durable
 
 MIN_PAYLOAD = 100
 #: Raw bytes of records that one archive file holds, about.
 FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
+#: Up to so many different rows that stand more than once, counted, are broadcast; of one, a task writes up to COPIES.
+BROADCAST_REPEATS = 1_000_000
+COPIES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,21 +50,29 @@ def _record(kind: Column | str, rid: Column, headers: list[tuple[str, Column]],
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
+def _hash(seed: int, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *parts, *[p.isNull() for p in parts])
+
+
 def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """For each page: key, url, html, digest, rid (its response's record id) and refers_to (the record that it revisits)."""
     df = pages.select(F.col(key), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     df = df.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
-    ids = df.select(key, "url", "digest", "size")
-    # equal rows are numbered in two steps, so that a hot row is counted in parts
-    many = durable(ids.groupBy(key, "url", "digest", "size").agg(F.count("*").alias("n")))
-    first = many.where(F.col("size") >= MIN_PAYLOAD).groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("no_url"))).alias("f"))
-    first = durable(first.select("digest", F.col("f.k").alias("first_key"), F.when(~F.col("f.no_url"), F.col("f.u")).alias("first_url")))
-    again = many.where("n > 1").select(key).limit(1).count()
-    if again:
-        order = Window.partitionBy(key, "url", "digest").orderBy(F.lit(1))
-        df = df.withColumn("copy", F.row_number().over(order))
+    df = df.withColumns({"a": _hash(1, F.col(key), F.col("url"), F.col("digest")), "b": _hash(2, F.col("digest"), F.col("url"), F.col(key))})
+    # equal rows are counted in parts before the shuffle
+    many = durable(df.select(key, "url", "digest", "size", "a", "b").groupBy(key, "url", "digest", "size", "a", "b").agg(F.count("*").alias("n")))
+    first = many.where(F.col("size") >= MIN_PAYLOAD).groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNotNull().alias("has_url"))).alias("f"))
+    first = durable(first.select("digest", F.col("f.k").alias("first_key"), F.when(F.col("f.has_url"), F.col("f.u")).alias("first_url")))
+    again = durable(many.where("n > 1").select("a", "b", "n"))
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= BROADCAST_REPEATS else again
+        one = df.join(again, ["a", "b"]).groupBy(key, "url", "digest", "size", "a", "b", "n").agg(F.first("html").alias("html"))
+        runs = one.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES).cast("long")))).repartition("a", "run")
+        copies = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES + 1, F.least(F.col("n"), (F.col("run") + 1) * COPIES)))).drop("n", "run")
+        df = df.join(again.select("a", "b"), ["a", "b"], "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(copies)
     else:
-        df = df.withColumn("copy", F.lit(1))
+        df = df.withColumn("copy", F.lit(1).cast("long"))
     df = df.join(first, "digest", "left")
     rid = _urn("response", F.col(key), F.col("url"), F.col("digest"), F.col("copy"))
     target = _urn("response", F.col("first_key"), F.col("first_url"), F.col("digest"), F.lit(1))
@@ -94,7 +105,6 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     most = max(3, round(3 * FILE_BYTES * total["rows"] / (total["raw"] or 1)))
     records = df.select(F.explode(F.array(request, response, metadata)).alias("value"))
     records.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
-    release(pages.sparkSession)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -123,7 +133,6 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """A row for each record of the archives in path. Digest and size of a response come from its bytes, a revisit's from its headers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "kind string, rid string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string, fields string, payload binary"
     arrow = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in schema.split(", "))])
