@@ -114,7 +114,7 @@ def targets(sizes, most=3):
         capped |= {s: float(most * sizes[s]) for s in over}
 
 
-def pagerank(links, seeds, damping, rounds):
+def pagerank(links, seeds, damping, rounds=400):
     out = defaultdict(float)
     for a, _, w in links:
         out[a] += w
@@ -129,3 +129,26 @@ def pagerank(links, seeds, damping, rounds):
         for a, b, w in links:
             reached[b] += damping * score[a] * w / out[a]
     return dict(reached)
+
+
+def secret_features(value, before, after, path, words, patterns):
+    """patterns: the fixed patterns of the operator by name; words: the dictionary."""
+    n = len(value)
+    kind = "".join("d" if c in "0123456789" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "o" for c in value)
+    has = lambda name, text: float(re.search(patterns[name], text) is not None)
+    out = {
+        "length": float(n), "digits": kind.count("d") / n, "uppers": kind.count("u") / n, "lowers": kind.count("l") / n, "signs": kind.count("o") / n, "distinct": len(set(value)) / n,
+        "hex": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value))), "coverage": sum(len(w) for w in re.findall("[a-z]{3,}", value.lower()) if w in words) / n, "odd_path": has("odd", path),
+        "keyword": has("key", before), "assigned": float(bool(re.search("[=:]\\s*[\"']?$", before))), "quoted": float(before[-1:] in ("'", '"') and before != ""),
+        "placeholder": max(has("placeholder", value), has("placeholder", before), has("placeholder", after)), "numeric": float(bool(re.fullmatch("[0-9-]+", value))), "known_prefix": has("prefix", value),
+        "identifier": has("identifier", before), "keyword_after": has("key", after), "near_known": float(sum(w in words for w in re.findall(r"[^\W\d_]{3,}", f"{before} {after}".lower()))),
+    }
+    for x in "dulo":
+        for y in "dulo":
+            out[f"from_{x}_{y}"] = sum(a == x and b == y for a, b in zip(kind, kind[1:])) / max(n - 1, 1)
+    return out
+
+
+def beside(text, start, end, near):
+    """The words on both sides of a value."""
+    return " ".join(text[:start].split(" ")[-near - 1 :]), " ".join(text[end:].split(" ")[: near + 1])
