@@ -17,8 +17,8 @@ def table_digest(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(row.cast("decimal(20,0)").alias("r")).agg(F.count("*").alias("n"), total.alias("digest"))
 
 
-def percentile_by_index(df: DataFrame, by: list[str], value: str, places: dict[str, str]) -> DataFrame:
-    """The value at index floor(places[name]) of each group's sorted values; the expression may use n, the group's size.
+def percentile_by_index(df: DataFrame, by: list[str], value: str, places: dict[str, str], count: str | None = None) -> DataFrame:
+    """The value at index floor(places[name]) of each group's sorted values; the expression may use n, the group's size, which becomes the column `count` if one is named.
 
     Counts of equal values are aggregated first and the window runs over distinct values only, so a
     hot group shuffles its histogram, not its rows.
@@ -30,4 +30,5 @@ def percentile_by_index(df: DataFrame, by: list[str], value: str, places: dict[s
     upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     cumulative = histogram.withColumns({"_upto": upto, "n": F.sum("_c").over(w)})
     at = {name: F.expr(f"cast(floor({expr}) as bigint)") for name, expr in places.items()}
-    return cumulative.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > k, F.col(value))).alias(name) for name, k in at.items()])
+    size = [F.sum("_c").alias(count)] if count else []
+    return cumulative.groupBy(*by).agg(*size, *[F.min(F.when(F.col("_upto") > k, F.col(value))).alias(name) for name, k in at.items()])

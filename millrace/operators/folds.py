@@ -29,7 +29,7 @@ def _decide(a: Column, x: Column) -> tuple[Column, Column, Column]:
     kind, amount = x["kind"], x["amount"]
     money = (amount > 0) & a["present"]
     accepted = (
-        F.when(kind == "create", ~a["present"])
+        F.when(kind == "create", ~a["present"] & (amount >= 0))
         .when(kind == "deposit", money)
         .when(kind == "withdraw", money & ~a["frozen"] & (a["balance"] >= amount))
         .otherwise(a["present"])
@@ -40,7 +40,7 @@ def _decide(a: Column, x: Column) -> tuple[Column, Column, Column]:
 
 
 def accounts(log: DataFrame, key: str = "user_id") -> DataFrame:
-    """key, balance, frozen, version, rejected, turns from log (key, seq, kind, amount): single-account commands folded in order."""
+    """key, present, balance, frozen, version, rejected, turns from log (key, seq, kind, amount): single-account commands folded in order."""
     zero = F.lit(0).cast("long")
     start = F.struct(F.lit(False).alias("present"), zero.alias("balance"), F.lit(False).alias("frozen"), zero.alias("version"), zero.alias("rejected"), zero.alias("turns"))
 
@@ -50,7 +50,40 @@ def accounts(log: DataFrame, key: str = "user_id") -> DataFrame:
         return F.struct((a["present"] | (ok & (x["kind"] == "create"))).alias("present"), balance.alias("balance"), frozen.alias("frozen"), (a["version"] + one).alias("version"), (a["rejected"] + 1 - one).alias("rejected"), (a["turns"] + 1).alias("turns"))
 
     state = ordered(log, [key], "seq", "kind", "amount").select(key, F.aggregate("rows", start, step).alias("s"))
-    return state.select(key, "s.balance", "s.frozen", "s.version", "s.rejected", "s.turns")
+    return state.select(key, "s.present", "s.balance", "s.frozen", "s.version", "s.rejected", "s.turns")
+
+
+def account_decisions(log: DataFrame, key: str = "user_id") -> DataFrame:
+    """key, seq, kind, amount, accepted, effect (1 create, 2 money, 4 freeze; 0 refused) of every command.
+
+    A key's commands pass one by one in order, so what is held is one account, however long its log.
+    """
+    schema = f"{key} {dict(log.dtypes)[key]}, seq long, kind string, amount long, accepted boolean, effect int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, present, balance, frozen = object(), False, 0, False
+        for pdf in batches:
+            said = []
+            for k, kind, amount in zip(pdf[key], pdf["kind"], pdf["amount"], strict=True):
+                if k != at:
+                    at, present, balance, frozen = k, False, 0, False
+                if kind == "create":
+                    ok = not present and amount >= 0
+                    present, balance = (True, amount) if ok else (present, balance)
+                elif kind == "deposit":
+                    ok = amount > 0 and present
+                    balance += amount if ok else 0
+                elif kind == "withdraw":
+                    ok = amount > 0 and present and not frozen and balance >= amount
+                    balance -= amount if ok else 0
+                else:
+                    ok = present
+                    frozen = kind == "freeze" if ok else frozen
+                said.append(ok)
+            effect = pdf["kind"].map({"create": 1, "deposit": 2, "withdraw": 2}).fillna(4).astype("int32")
+            yield pdf.assign(accepted=said, effect=effect.where(pd.Series(said, index=pdf.index, dtype=bool), 0).astype("int32"))
+
+    return log.select(key, "seq", "kind", "amount").repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
 
 
 def inventory(log: DataFrame) -> DataFrame:
@@ -102,18 +135,14 @@ def transfers(log: DataFrame) -> DataFrame:
                     if a:
                         a[1] = r.kind == "freeze"
                 elif r.kind == "begin_transfer":
-                    reason = "invalid_amount" if amount <= 0 else "transfer_pending" if r.account in pending else ""
+                    reason = "invalid_amount" if amount <= 0 else ""
                     if not reason:
-                        pending[r.account] = (r.other, amount)
+                        pending[r.account] = (r.other, amount)  # in place of one that was pending
                 elif r.kind == "cancel":
-                    reason = "" if pending.pop(r.account, None) else "no_pending"
+                    pending.pop(r.account, None)  # accepted whether or not one was pending
+                elif r.kind == "confirm" and pending.pop(r.account, None) != (r.other, amount):
+                    reason = "invalid_workflow"  # whatever was pending is gone
                 else:
-                    if r.kind == "confirm":
-                        held = pending.pop(r.account, None)
-                        if held is None:
-                            out.append((r.seq, r.account, r.other, r.kind, False, "no_pending", a[0] if a else None))
-                            continue
-                        b, amount = state.get(held[0]), held[1]
                     couple = r.kind in ("transfer", "confirm")
                     reason = "invalid_amount" if amount <= 0 else "account_missing" if a is None or (couple and b is None) else ""
                     if not reason and r.kind != "deposit":

@@ -40,7 +40,15 @@ G.sql(
 LATENCY = "cast(round(value * 1000) as bigint)"
 _PERCENTILES = """select event_type, count(*) as n, cast({0}(0.5) within group (order by ns) as bigint) as p50, cast({0}(0.95) within group (order by ns) as bigint) as p95, cast({0}(0.99) within group (order by ns) as bigint) as p99,
        case when count(*) >= 1000 then cast({0}(0.999) within group (order by ns) as bigint) end as p999 from (select event_type, %s as ns from {{events}}) t group by event_type""" % LATENCY
-G.sql("latency_percentiles", _PERCENTILES.format("percentile_disc"))
+
+
+@G.frame(_PERCENTILES.format("percentile_disc").replace("{events}", "events"))
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").selectExpr("event_type", f"{LATENCY} as ns")
+    ranks = percentile_by_index(rows, ["event_type"], "ns", {f"p{k}": f"ceil({p}BD * n) - 1" for k, p in ((50, "0.5"), (95, "0.95"), (99, "0.99"), (999, "0.999"))}, "n")
+    return ranks.selectExpr("event_type", "n", "p50", "p95", "p99", "case when n >= 1000 then p999 end as p999")
+
+
 _INDEXED = """select event_type, max(case when place = cast(floor({0}) as bigint) + 1 then ns end) as p50, max(case when place = cast(floor({1}) as bigint) + 1 then ns end) as p99 from (
     select event_type, %s as ns, row_number() over (partition by event_type order by %s, event_id) as place, count(*) over (partition by event_type) as n from events) t group by event_type""" % (LATENCY, LATENCY)
 
@@ -73,11 +81,14 @@ G.sql(
     """select count(*) as attempted, count(*) filter (where outcome = 'rejected') as rejected, count(*) filter (where outcome = 'failed') as failed, count(*) filter (where outcome = 'completed') as completed from (
          select case when value < 5 then 'rejected' when event_type = 'error' then 'failed' else 'completed' end as outcome from {events}) t""",
 )
-G.sql(
-    "phase_summary",
-    f"""select cast(cast(ts as date) as string) as phase, event_type, count(*) as n, cast(percentile_disc(0.95) within group (order by {LATENCY}) as bigint) as p95, max({LATENCY}) as worst from {{events}} group by cast(cast(ts as date) as string), event_type""",
-    f"""select cast(cast(ts as date) as varchar) as phase, event_type, count(*) as n, quantile_disc({LATENCY}, 0.95) as p95, max({LATENCY}) as worst from {{events}} group by cast(cast(ts as date) as varchar), event_type""",
-)
+
+
+@G.frame(f"select cast(cast(ts as date) as varchar) as phase, event_type, user_id % 3 as priority, count(*) as n, quantile_disc({LATENCY}, 0.95) as p95, max({LATENCY}) as worst from events group by cast(cast(ts as date) as varchar), event_type, user_id % 3")
+def phase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").selectExpr("cast(cast(ts as date) as string) as phase", "event_type", "user_id % 3 as priority", f"{LATENCY} as ns")
+    return percentile_by_index(rows, ["phase", "event_type", "priority"], "ns", {"p95": "ceil(0.95BD * n) - 1", "worst": "n - 1"}, "n")
+
+
 G.sql(
     "concentration_hhi",
     """select event_type, active, total, top1, top3, cast(round(1000000 * cast(squares as double) / (cast(total as double) * total)) as bigint) as hhi_millionths from (

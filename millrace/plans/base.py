@@ -46,3 +46,35 @@ class Group:
             return f
 
         return keep
+
+
+def fold(group: Group, name: str, log: str, key: str, order: str, fields: list[str], state: dict[str, tuple[str, str]], select: str, terms: dict[str, str] | None = None, duck: dict[str, str] | None = None) -> None:
+    """A query that folds each key's rows in order, by aggregate() in Spark and by recursion in the oracle.
+
+    state: column to (initial value, value after a row); expressions name state columns as {a}column and a row's
+    fields as {x}field. terms: expressions that others use by name. duck: what DuckDB spells otherwise.
+    """
+
+    def spelt(text: str, a: str, x: str) -> str:
+        for _ in range(4):
+            for k, v in (terms or {}).items():
+                text = text.replace("{%s}" % k, f"({v})")
+        return text.replace("{a}", a).replace("{x}", x)
+
+    def for_duck(text: str) -> str:
+        for k, v in (duck or {}).items():
+            text = text.replace(k, v)
+        return text
+
+    step = ", ".join(f"'{c}', {spelt(v, 'a.', 'x.')}" for c, (_, v) in state.items())
+    start = ", ".join(f"'{c}', {v}" for c, (v, _) in state.items())
+    rows = ", ".join(f"'{c}', {c}" for c in fields)
+    outer = ", ".join(f"s.{c}" for c in state)
+    spark_text = f"""select {key}, {select} from (select {key}, {outer} from (select {key}, aggregate(array_sort(collect_list(named_struct('_at', {order}, {rows}))), named_struct({start}), (a, x) -> named_struct({step})) as s
+        from ({log}) l group by {key}) f) t"""
+    inits = ", ".join(f"{v} as {c}" for c, (v, _) in state.items())
+    steps = ", ".join(spelt(v, "f.", "l.") for _, v in state.values())
+    duck_text = f"""with recursive l as (select *, row_number() over (partition by {key} order by {order}) as _pos from ({log}) g),
+        f as (select {key}, cast(0 as bigint) as _pos, {inits} from (select distinct {key} from l) u union all select f.{key}, l._pos, {steps} from f join l on l.{key} = f.{key} and l._pos = f._pos + 1)
+        select {key}, {select} from (select *, row_number() over (partition by {key} order by _pos desc) as _back from f) t where _back = 1"""
+    group.sql(name, spark_text, for_duck(duck_text))

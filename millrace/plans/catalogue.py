@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, joins, logs, scans, telemetry
+from millrace.plans import aggregates, decisions, joins, logs, scans, telemetry
 
 QUERIES = {}
 ORACLES = {}
-for _group in (scans.G, aggregates.G, joins.G, logs.G, telemetry.G):
+for _group in (scans.G, aggregates.G, joins.G, logs.G, telemetry.G, decisions.G):
     QUERIES |= _group.queries
     ORACLES |= _group.oracles

@@ -50,7 +50,7 @@ _ACCOUNTS = """with recursive log as (select user_id, event_type as k, cast(floo
         case when not ok then balance when k = 'signup' then amt when k = 'click' then balance + amt when k = 'purchase' then balance - amt else balance end,
         case when not ok then frozen when k = 'error' then true when k = 'view' then false else frozen end,
         version + case when ok then 1 else 0 end, rejected + case when ok then 0 else 1 end
-      from (select f.*, l.pos as lpos, l.k, l.amt, case l.k when 'signup' then not present when 'click' then amt > 0 and present when 'purchase' then amt > 0 and present and not frozen and balance >= amt else present end as ok
+      from (select f.*, l.pos as lpos, l.k, l.amt, case l.k when 'signup' then not present and l.amt >= 0 when 'click' then l.amt > 0 and present when 'purchase' then l.amt > 0 and present and not frozen and balance >= l.amt else present end as ok
             from fold f join log l on l.user_id = f.user_id and l.pos = f.pos + 1) f)
     """
 _LAST = "from (select *, row_number() over (partition by user_id order by pos desc) as back from fold) t where back = 1"
@@ -58,7 +58,20 @@ _LAST = "from (select *, row_number() over (partition by user_id order by pos de
 
 @G.frame(_ACCOUNTS + "select user_id, balance, frozen, version, rejected, pos as turns " + _LAST)
 def account_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.accounts(folds.account_log(read(spark, sf_dir, "events")))
+    return folds.accounts(folds.account_log(read(spark, sf_dir, "events"))).drop("present")
+
+
+@G.frame(_ACCOUNTS + "select user_id, balance, frozen, version " + _LAST + " and present order by user_id")
+def sorted_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.accounts(folds.account_log(read(spark, sf_dir, "events"))).where("present").select("user_id", "balance", "frozen", "version").orderBy("user_id")
+
+
+@G.frame(_ACCOUNTS + "select cast(id as bigint) as user_id, coalesce(present, false) as found, case when present then balance end as balance from (select 7 as id union all select -1) ids left join (select * " + _LAST + ") a on a.user_id = ids.id")
+def account_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two accounts, of which one was never named; only their own commands are folded."""
+    log = folds.account_log(read(spark, sf_dir, "events").where("user_id in (7, -1)"))
+    ids = spark.createDataFrame([(7,), (-1,)], "user_id long")
+    return ids.join(folds.accounts(log), "user_id", "left").selectExpr("user_id", "coalesce(present, false) as found", "case when present then balance end as balance")
 
 
 @G.frame(_ACCOUNTS + "select user_id, version, pos as turns " + _LAST)
@@ -66,13 +79,17 @@ def account_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.accounts(folds.account_log(read(spark, sf_dir, "events"))).select("user_id", "version", "turns")
 
 
+_LEDGER = _ACCOUNTS.replace("event_type as k,", "event_id, event_type as k,").replace("cast(0 as bigint) as rejected from (select", "cast(0 as bigint) as rejected, cast(null as bigint) as event_id, cast(null as varchar) as k, cast(0 as bigint) as amt, false as ok from (select").replace("rejected + case when ok then 0 else 1 end", "rejected + case when ok then 0 else 1 end, event_id, k, amt, ok").replace("(select f.*, l.pos", "(select f.user_id, f.present, f.balance, f.frozen, f.version, f.rejected, l.event_id, l.pos")
+
+
 @G.frame(
-    """select user_id, event_id, case event_type when 'signup' then 'create' when 'click' then 'deposit' else 'withdraw' end as kind, amt as amount from (
-         select e.user_id, e.event_id, e.event_type, cast(floor(e.value) as bigint) as amt from events e) t where event_type in ('signup', 'click', 'purchase') and amt > 0"""
+    _LEDGER
+    + """select user_id, event_id, case k when 'signup' then 'create' when 'click' then 'deposit' when 'purchase' then 'withdraw' when 'error' then 'freeze' else 'unfreeze' end as kind, amt as amount,
+         case when k = 'signup' then 1 when k in ('click', 'purchase') then 2 else 4 end as effect from fold where ok"""
 )
 def ledger_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = folds.account_log(read(spark, sf_dir, "events"))
-    return log.where(F.col("kind").isin("create", "deposit", "withdraw") & (F.col("amount") > 0)).select("user_id", F.col("seq").alias("event_id"), "kind", "amount")
+    decided = folds.account_decisions(folds.account_log(read(spark, sf_dir, "events")))
+    return decided.where("accepted").select("user_id", F.col("seq").alias("event_id"), "kind", "amount", "effect")
 
 
 @G.frame(
@@ -94,4 +111,5 @@ G.sql(
     f"select user_id, event_id, array_join(filter(array(case when was <> now then 'type_changed' end, case when new_value > old_value then 'raised' end, case when new_value < old_value then 'lowered' end), x -> x is not null), ',') as changes, new_value > old_value as expanded from ({_PAIRS}) t where was is not null",
     f"select user_id, event_id, array_to_string(list_filter([case when was <> now then 'type_changed' end, case when new_value > old_value then 'raised' end, case when new_value < old_value then 'lowered' end], lambda x: x is not null), ',') as changes, new_value > old_value as expanded from ({_PAIRS}) t where was is not null",
 )
-G.sql("version_continuity", "select user_id, count(*) as breaks from (select user_id, event_id, lag(event_id) over (partition by user_id order by event_id) as prev from {events}) t where prev is not null and event_id - prev > 300 group by user_id")
+# a line's number is its order's version: each must be the one before it plus one
+G.sql("version_continuity", "select l_orderkey, count(*) as breaks from (select l_orderkey, l_linenumber, lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) as prev from {lineitem}) t where l_linenumber <> coalesce(prev, 0) + 1 group by l_orderkey")

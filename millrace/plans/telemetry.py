@@ -62,8 +62,7 @@ G.sql(
     """select event_id, score, case when score >= 1000 then 'override' when score >= 300 then 'high' else 'normal' end as class from (
          select event_id, greatest(100 + age, case when event_type = 'error' then 300 + age else 0 end, 200 + 25 * (user_id % 4), case when age >= 95 then 1000 else 0 end) as score from (select event_id, event_type, user_id, least(100, event_id % 120) as age from {events}) a) t""",
 )
-G.sql("admission_decision", "select event_id, case when event_id % 64 >= 60 then 'reject_full' when event_type = 'error' then 'reject_fault' when user_id % 5 = 0 and event_id % 64 >= 40 then 'defer' else 'admit' end as decision from {events}")
-G.sql("expired_reservations", "select e.event_id, e.user_id, m.last_id - e.event_id as age from {events} e cross join (select max(event_id) as last_id from {events}) m where e.event_type = 'click' and m.last_id - e.event_id >= 200 and e.event_id % 25 = 0")
+G.sql("expired_reservations", "select e.event_id, e.user_id, m.last_id - e.event_id as age from {events} e cross join (select max(event_id) as last_id from {events}) m where e.event_type = 'click' and m.last_id - e.event_id >= 200")
 G.sql("score_conflict_overtakes", "select event_id, cast(place_by_score - place_by_age as bigint) as overtaken from (select event_id, row_number() over (partition by user_id order by value desc, event_id) as place_by_score, row_number() over (partition by user_id order by event_id) as place_by_age from {events}) t")
 G.sql(
     "publication_checks",

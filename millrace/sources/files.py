@@ -8,12 +8,18 @@ from pyspark.sql import types as T
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of files with a JSON object a line, as write_json_rows makes them; a malformed line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of files that hold a JSON array each; a malformed file fails the read."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """A JSON object a line; nulls are written, so that a row of nulls stays a row."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_trace(df: DataFrame, path: str) -> None:

@@ -45,14 +45,27 @@ def test_accounts(spark):
     log = [(1, "deposit", 5), (1, "create", 100), (1, "create", -1), (1, "withdraw", 30), (1, "freeze", 0), (1, "withdraw", 1), (1, "deposit", 7), (1, "freeze", 0), (1, "unfreeze", 0), (1, "withdraw", 1000), (2, "freeze", 0)]
     df = spark.createDataFrame([(a, i, k, n) for i, (a, k, n) in enumerate(log)], "user_id long, seq long, kind string, amount long")
     got = {r.user_id: tuple(r)[1:] for r in folds.accounts(df).collect()}
-    assert got == {1: (77, False, 6, 4, 10), 2: (0, False, 0, 1, 1)}
+    assert got == {1: (True, 77, False, 6, 4, 10), 2: (False, 0, False, 0, 1, 1)}
+    refused = spark.createDataFrame([(3, 0, "create", -5), (3, 1, "deposit", 1)], "user_id long, seq long, kind string, amount long")
+    assert [tuple(r) for r in folds.accounts(refused).collect()] == [(3, False, 0, False, 0, 2, 2)]
+
+
+def test_account_decisions(spark):
+    log = [(1, "deposit", 5), (1, "create", 100), (1, "create", 1), (1, "withdraw", 30), (1, "freeze", 0), (1, "withdraw", 1), (1, "unfreeze", 0), (2, "create", -1), (2, "freeze", 0), (3, "create", 0)] * 1
+    df = spark.createDataFrame([(a, i, k, n) for i, (a, k, n) in enumerate(log)], "user_id long, seq long, kind string, amount long")
+    got = [(r.accepted, r.effect) for r in folds.account_decisions(df).orderBy("seq").collect()]
+    assert got == [(False, 0), (True, 1), (False, 0), (True, 2), (True, 4), (False, 0), (True, 4), (False, 0), (False, 0), (True, 1)]
+    assert folds.account_decisions(df.limit(0)).count() == 0
 
 
 def test_transfers(spark):
-    log = [(1, None, "create", 100), (2, None, "create", 0), (1, 2, "transfer", 60), (1, 2, "transfer", 60), (2, None, "freeze", 0), (1, 2, "transfer", 10), (2, 1, "transfer", 5), (1, 2, "begin_transfer", 20), (1, None, "confirm", 0), (1, None, "confirm", 0), (1, 9, "transfer", 1)]
+    log = [(1, None, "create", 100), (2, None, "create", 0), (1, 2, "transfer", 60), (1, 2, "transfer", 60), (2, None, "freeze", 0), (1, 2, "transfer", 10), (2, 1, "transfer", 5), (1, 2, "begin_transfer", 20), (1, 2, "confirm", 20), (1, 2, "confirm", 20), (1, 9, "transfer", 1)]
+    log += [(1, None, "cancel", 0), (1, 2, "begin_transfer", 3), (1, 2, "begin_transfer", 4), (1, 2, "confirm", 3), (1, 2, "confirm", 4), (1, 2, "begin_transfer", 4), (1, 999, "confirm", 4), (5, None, "create", -1)]
     df = spark.createDataFrame([(i, a, b, k, n) for i, (a, b, k, n) in enumerate(log)], "seq long, account long, other long, kind string, amount long")
     got = [(r.reason, r.balance) for r in folds.transfers(df).orderBy("seq").collect()]
-    assert got == [("", 100), ("", 0), ("", 40), ("insufficient_funds", 40), ("", 60), ("", 30), ("account_frozen", 70), ("", 30), ("", 10), ("no_pending", 10), ("account_missing", 10)]
+    want = [("", 100), ("", 0), ("", 40), ("insufficient_funds", 40), ("", 60), ("", 30), ("account_frozen", 70), ("", 30), ("", 10), ("invalid_workflow", 10), ("account_missing", 10)]
+    # a cancel with nothing pending counts, a second begin replaces the first, a confirm must name target and amount and ends what is pending
+    assert got == want + [("", 10), ("", 10), ("", 10), ("invalid_workflow", 10), ("invalid_workflow", 10), ("", 10), ("invalid_workflow", 10), ("invalid_amount", None)]
 
 
 def test_catalog(spark, tmp_path, jobs):
@@ -75,8 +88,17 @@ def test_catalog(spark, tmp_path, jobs):
 
 
 def test_files(spark, tmp_path, jobs):
-    files.write_json_rows(jobs, str(tmp_path / "j"))
-    assert files.read_json_rows(spark, str(tmp_path / "j"), jobs.schema).count() == 4
+    odd = jobs.unionAll(spark.createDataFrame([(None, None), ("a,b\n", '"')], jobs.schema)).coalesce(1)
+    files.write_json_rows(odd, str(tmp_path / "j"))
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(files.read_json_rows(spark, str(tmp_path / "j"), jobs.schema)) == key(odd)
+    (tmp_path / "array.json").write_text('[{"key": "a", "json": "x"}, {"key": "b"}]')
+    assert key(files.read_json_arrays(spark, str(tmp_path / "array.json"), jobs.schema)) == [("a", "x"), ("b", None)]
+    files.write_trace(odd.where("key like 'job%'"), str(tmp_path / "t"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "t")).columns == ["key", "json"] and spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 4
+    (tmp_path / "transfer-fast-2.json").write_text('{"n": 3}')
+    got = files.read_reports(spark, str(tmp_path / "transfer-*.json"), T.StructType([T.StructField("n", T.LongType())]), r"(\w+)-(\w+)-(\d+)\.json").collect()
+    assert [tuple(r) for r in got] == [(3, "transfer", "fast", "2")]
     (tmp_path / "c.txt").write_text("12,,cycles,x\n<not counted>,,misses\n7,,instructions\n")
     assert {(r.event, r.n) for r in files.read_counters(spark, str(tmp_path / "c.txt")).collect()} == {("cycles", 12), ("instructions", 7)}
 
@@ -100,3 +122,24 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 4
     stream(logs.ewma(read().where("key = 'b'"), "key", "seq", "value"), "ewma", "update")
     assert spark.table("ewma").orderBy(F.desc("n")).first().average == (3 * 2 + 100) // 4
+
+
+def test_generated_rows(spark):
+    from millrace.functions import generate
+
+    state, want = generate.SEED, []
+    for _ in range(50):
+        state = (state * generate.MULTIPLIER + generate.INCREMENT) % (1 << 64)
+        want.append(state)
+    assert generate.states(0, 50).tolist() == want and generate.states(17, 20).tolist() == want[17:37]
+    rows = generate.products(spark, 50).orderBy("id").collect()
+    assert [r.category for r in rows] == [(s >> 17) % 8 for s in want] and rows[0].id == 1000001 and rows[49].name == "Product-000050"
+    assert generate.products(spark, 0).count() == 0
+
+
+def test_percentiles_of_histograms(spark):
+    from millrace.functions.stats import percentile_by_index
+
+    df = spark.createDataFrame([("a", v) for v in (5, 1, 5, 9)] + [("b", 2)], "g string, v long")
+    got = percentile_by_index(df, ["g"], "v", {"mid": "ceil(0.5BD * n) - 1", "top": "n - 1"}, "n").orderBy("g").collect()
+    assert [tuple(r) for r in got] == [("a", 4, 5, 9), ("b", 1, 2, 2)]
