@@ -26,8 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import resemblance
-from millrace.llm.common import durable, let
+from millrace.llm.common import WORD, durable, let
+from millrace.llm.simhash import components
 from millrace.llm.spans import matches, running, substrings
 
 #: The kinds in the order that breaks ties, with their patterns. They match what the
@@ -44,6 +44,7 @@ REMOVE = 0.999
 LEVEL = 0.05
 #: Texts of entities that are so similar (five-word shingles) are copies.
 COPY = 0.5
+BANDS = 16
 BROADCAST_TERMS = 100_000
 TERM = r"\p{L}{3,}+"
 TERM_KIND = len(KINDS)
@@ -105,6 +106,26 @@ def _group(span: Column) -> Column:
     return F.concat(F.lit("group "), F.get(F.array(*of), span["kind"]))
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """d, g of texts (d, _text): equal g for texts that are copies. Texts are judged with the first of those that share one of BANDS pairs of minimum hashes of five-word shingles, never all with all."""
+    words = F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0))
+    shingles = let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(5)), " ")))))
+    sets = durable(texts.select("d", shingles.alias("held")))
+    # an order for each hash: the shingles' hashes under masks, no two of which begin with the same bits
+    masks = [(k << 59 | 0x5851F42D4C957F2D * (2 * k + 1) % (1 << 59)) for k in range(2 * BANDS)]
+    under = lambda m: F.array_min(F.transform("held", lambda h: h.bitwiseXOR(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long"))))
+    least = [under(m) for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(k), least[2 * k], least[2 * k + 1]) for k in range(BANDS)])
+    keyed = durable(sets.select("d", F.explode(keys).alias("key")))
+    first = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "d").alias("h"), F.col("d").alias("a"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f.a")
+    pairs = keyed.join(first, "key").where("a <> d").select("a", F.col("d").alias("b")).distinct()
+    left, right = sets.select(F.col("d").alias("a"), F.col("held").alias("x")), sets.select(F.col("d").alias("b"), F.col("held").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(left, "a").join(right, "b").where(both >= COPY * (F.size("x") + F.size("y") - both)).select("a", "b")
+    roots = components(near).select(F.col("node").alias("d"), F.col("root"))
+    return durable(sets.select("d").join(roots, "d", "left").select("d", F.coalesce("root", "d").alias("g")))
+
+
 def disclosing(found: DataFrame) -> DataFrame:
     """term, kind, removed: the terms that disclose an entity, each with the kind that it tells most of.
 
@@ -119,8 +140,7 @@ def disclosing(found: DataFrame) -> DataFrame:
     if holding.isEmpty():
         return spark.createDataFrame([], schema)
     # texts that are copies of each other, edited or not, are one piece of evidence, g
-    copies = resemblance.near_duplicates(holding, "d", "_text", similarity=COPY, rows=2)
-    copies = durable(copies.select("d", F.col("component_id").alias("g")))
+    copies = _copies(holding)
     counted = copies.agg(F.count("*").alias("d"), F.count_distinct("g").alias("g")).first()
     total = found.agg(F.count_distinct(F.xxhash64("_text"))).first()[0] - counted["d"] + counted["g"]
     held = holding.join(copies, "d").select("g", "entities", "terms")
