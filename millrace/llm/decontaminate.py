@@ -50,40 +50,69 @@ REMEMBERED = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITIVE = np.int64((1 << 63) - 1)
-_remembered: dict[str, int] = {}
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def hashes(text: str | None) -> list[int]:
+class Vocabulary(dict):
+    """Words to places, and at each place the word's hash; place 0 is no word's and holds 0. A new word gets the next place."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held, self.known = [0], np.zeros(1, dtype=np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self.held)
+        self.held.append(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1)
+        return place
+
+    def table(self) -> np.ndarray:
+        if len(self.known) < len(self.held):
+            self.known = np.concatenate((self.known, np.array(self.held[len(self.known) :], dtype=np.uint64)))
+        return self.known
+
+
+_remembered = [Vocabulary()]
+
+
+def vocabulary() -> Vocabulary:
+    """The worker's words, forgotten when they grow beyond REMEMBERED."""
+    if len(_remembered[0]) > REMEMBERED:
+        _remembered[0] = Vocabulary()
+    return _remembered[0]
+
+
+def hashes(text: str | None) -> np.ndarray:
     """A hash for each word of a text; 0 is none's."""
-    if len(_remembered) > REMEMBERED:
-        _remembered.clear()
-    out, look = [], _remembered.get
-    for w in tokens(text):
-        h = look(w)
-        if h is None:
-            h = _remembered[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
-        out.append(h)
-    return out
-
-
-def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts, a 0 after each text; where each text begins."""
-    held, begins = [], []
+    v = vocabulary()
+    places = list(map(v.__getitem__, tokens(text)))
+    return v.table()[places] if places else np.empty(0, dtype=np.uint64)
+
+
+def flat(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the words of all texts, a 0 after each text; where each text begins."""
+    held: list[int] = []
+    begins, look = [], v.__getitem__
     for t in texts:
         begins.append(len(held))
-        held += hashes(t)
+        if t:
+            held.extend(map(look, TOKEN.findall(t.lower())))
         held.append(0)
-    return np.array(held, dtype=np.uint64), np.array(begins, dtype=np.int64)
+    return np.array(held, dtype=np.int64), np.array(begins, dtype=np.int64)
+
+
+_power_tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    p = np.ones(n, dtype=np.uint64)
-    p[1:] = np.uint64(base)
-    return np.multiply.accumulate(p)
+    have = _power_tables.get(base)
+    if have is None or len(have) < n:
+        p = np.ones(max(n, 1 << 18), dtype=np.uint64)
+        p[1:] = np.uint64(base)
+        have = _power_tables[base] = np.multiply.accumulate(p)
+    return have[:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -97,7 +126,7 @@ class Runs:
 
     def __init__(self, words: np.ndarray):
         self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(_mixed(words) * _powers(_BASE, len(words)), out=self.sums[1:])
+        np.cumsum(words * _powers(_BASE, len(words)), out=self.sums[1:])
         self.back = _powers(_INVERSE, len(words) + 1)
 
     def of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -147,24 +176,21 @@ def word_counts(documents: DataFrame, words: DataFrame, text: str = "text") -> D
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, total, parts, held = shared.value, 0, [], 0
+        mask, v, seen = shared.value, vocabulary(), np.zeros(0, dtype=np.int64)
 
         def counted() -> pa.RecordBatch:
-            w = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, dtype=np.uint64)
-            n = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, dtype=np.int64)
-            w, at = np.unique(w, return_inverse=True)
-            sums = np.bincount(at, weights=n, minlength=len(w)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(w.view(np.int64), 0)), pa.array(np.append(sums, total))], ["word", "n"])
+            words, n = v.table()[: len(seen)], seen.copy()
+            total, n[:1] = int(n[1:].sum()), 0
+            at = np.flatnonzero((n > 0) & mask[slots(words, MASK_BITS)])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(words[at].view(np.int64), 0)), pa.array(np.append(n[at], total))], ["word", "n"])
 
         for x in pieces(batches):
-            ids, begins = flat(x.column(0).to_pylist())
-            total += len(ids) - len(begins)
-            some = ids[mask[slots(ids, MASK_BITS)] & (ids != 0)]
-            parts.append(np.unique(some, return_counts=True))
-            held += len(parts[-1][0])
-            if held > REMEMBERED:
+            if vocabulary() is not v:
                 yield counted()
-                total, parts, held = 0, [], 0
+                v, seen = vocabulary(), np.zeros(0, dtype=np.int64)
+            more = np.bincount(flat(x.column(0).to_pylist(), v)[0], minlength=len(seen))
+            more[: len(seen)] += seen
+            seen = more
         yield counted()
 
     counts = documents.select(F.col(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -213,7 +239,9 @@ def hits(rows: DataFrame, sown: DataFrame, text: str = "text") -> DataFrame:
         sought = shared.value
         used = [n for n in range(MIN_SEED, MAX_SEED + 1) if (sought >> n & 1).any()]
         for x in pieces(batches):
-            words, begins = flat(x.column(2).to_pylist())
+            v = vocabulary()
+            places, begins = flat(x.column(2).to_pylist(), v)
+            words = v.table()[places]
             if len(words) <= MIN_SEED:
                 continue
             runs, ends = Runs(words), np.append(begins[1:], len(words)) - 1
@@ -246,7 +274,7 @@ def aligned(rows: DataFrame, benchmark_items: DataFrame, found: DataFrame, text:
         for x in pieces(batches):
             out = []
             for a, b, t, asked in zip(*(x.column(c).to_pylist() for c in range(4)), strict=True):
-                words = np.array(hashes(t), dtype=np.uint64).view(np.int64) & _POSITIVE
+                words = hashes(t).view(np.int64) & _POSITIVE
                 for r in asked:
                     item, best = np.array(r["words"], dtype=np.int64) & _POSITIVE, (0, 0, 0)
                     m, reach = len(item), -1
@@ -280,7 +308,7 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, key: str, text: str, item
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in pieces(batches):
-            held = [np.array(hashes(t), dtype=np.uint64).view(np.int64).tolist() for t in x.column(1).to_pylist()]
+            held = [hashes(t).view(np.int64).tolist() for t in x.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(held, pa.list_(pa.int64()))], ["item", "words"])
 
     items = benchmark.select(_item(F.col(item_text)).alias("item"), F.col(item_text)).where(F.col(item_text).isNotNull()).dropDuplicates(["item"]).mapInArrow(words, "item long, words array<long>")
