@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +44,11 @@ SEED_BITS = 30.0
 MIN_SCORE = 0.5
 MASK_BITS = 22
 BROADCAST_ROWS = 1_000_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+#: Characters whose words are hashed together.
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_word_table: list[np.ndarray] = []
 _POSITIVE = np.int64((1 << 63) - 1)
 
 
@@ -56,51 +56,63 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-class Vocabulary(dict):
-    """Words to places, and at each place the word's hash; place 0 is no word's and holds 0. A new word gets the next place."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.held, self.known = [0], np.zeros(1, dtype=np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self.held)
-        self.held.append(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1)
-        return place
-
-    def table(self) -> np.ndarray:
-        if len(self.known) < len(self.held):
-            self.known = np.concatenate((self.known, np.array(self.held[len(self.known) :], dtype=np.uint64)))
-        return self.known
-
-
-_remembered = [Vocabulary()]
-
-
-def vocabulary() -> Vocabulary:
-    """The worker's words, forgotten when they grow beyond REMEMBERED."""
-    if len(_remembered[0]) > REMEMBERED:
-        _remembered[0] = Vocabulary()
-    return _remembered[0]
+def word_table() -> np.ndarray:
+    """For every code point whether TOKEN takes it."""
+    if not _word_table:
+        _word_table.append(np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000))
+    return _word_table[0]
+
+
+def _segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers of texts and their parts, together of about SEGMENT characters; parts end between words."""
+    numbers: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for k, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            end = at + SEGMENT
+            while end < len(t) and TOKEN.match(t, end):
+                end += 1
+            numbers.append(k)
+            parts.append(t[at:end])
+            size, at = size + min(end, len(t)) - at, end
+            if size >= SEGMENT:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+    if parts:
+        yield numbers, parts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, never 0, and the number of its text."""
+    found, of = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for numbers, parts in _segments(texts):
+        parts = [p.lower() for p in parts]
+        codes = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        # a word begins and ends where what TOKEN takes does
+        edges = np.diff(np.concatenate(([False], word_table()[codes], [False])).view(np.int8))
+        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=sums[1:])
+        h = _mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(codes) + 1)[start] + (end - start).astype(np.uint64))
+        found.append(np.maximum(h, np.uint64(1)))
+        begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])[:-1]))
+        of.append(np.array(numbers, dtype=np.int64)[np.searchsorted(begins, start, side="right") - 1])
+    return np.concatenate(found), np.concatenate(of)
 
 
 def hashes(text: str | None) -> np.ndarray:
-    """A hash for each word of a text; 0 is none's."""
-    v = vocabulary()
-    places = list(map(v.__getitem__, tokens(text)))
-    return v.table()[places] if places else np.empty(0, dtype=np.uint64)
+    return word_hashes([text])[0]
 
 
-def flat(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the words of all texts, a 0 after each text; where each text begins."""
-    held: list[int] = []
-    begins, look = [], v.__getitem__
-    for t in texts:
-        begins.append(len(held))
-        if t:
-            held.extend(map(look, TOKEN.findall(t.lower())))
-        held.append(0)
-    return np.array(held, dtype=np.int64), np.array(begins, dtype=np.int64)
+def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, a 0 after each text; where each text begins."""
+    h, of = word_hashes(texts)
+    n = np.bincount(of, minlength=len(texts)) + 1
+    out = np.zeros(int(n.sum()), dtype=np.uint64)
+    out[np.arange(len(h)) + of] = h
+    return out, np.cumsum(n) - n
 
 
 _power_tables: dict[int, np.ndarray] = {}
@@ -176,22 +188,24 @@ def word_counts(documents: DataFrame, words: DataFrame, text: str = "text") -> D
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, v, seen = shared.value, vocabulary(), np.zeros(0, dtype=np.int64)
+        mask, total, parts, held = shared.value, 0, [], 0
 
         def counted() -> pa.RecordBatch:
-            words, n = v.table()[: len(seen)], seen.copy()
-            total, n[:1] = int(n[1:].sum()), 0
-            at = np.flatnonzero((n > 0) & mask[slots(words, MASK_BITS)])
-            return pa.RecordBatch.from_arrays([pa.array(np.append(words[at].view(np.int64), 0)), pa.array(np.append(n[at], total))], ["word", "n"])
+            words, n = (np.concatenate(v) for v in zip(*parts, strict=True))
+            words, at = np.unique(words, return_inverse=True)
+            sums = np.bincount(at, weights=n, minlength=len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(words.view(np.int64), 0)), pa.array(np.append(sums, total))], ["word", "n"])
 
         for x in pieces(batches):
-            if vocabulary() is not v:
+            h = word_hashes(x.column(0).to_pylist())[0]
+            total += len(h)
+            parts.append(np.unique(h[mask[slots(h, MASK_BITS)]], return_counts=True))
+            held += len(parts[-1][0])
+            if held > 4_000_000:
                 yield counted()
-                v, seen = vocabulary(), np.zeros(0, dtype=np.int64)
-            more = np.bincount(flat(x.column(0).to_pylist(), v)[0], minlength=len(seen))
-            more[: len(seen)] += seen
-            seen = more
-        yield counted()
+                total, parts, held = 0, [], 0
+        if parts:
+            yield counted()
 
     counts = documents.select(F.col(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return durable(counts)
@@ -239,9 +253,7 @@ def hits(rows: DataFrame, sown: DataFrame, text: str = "text") -> DataFrame:
         sought = shared.value
         used = [n for n in range(MIN_SEED, MAX_SEED + 1) if (sought >> n & 1).any()]
         for x in pieces(batches):
-            v = vocabulary()
-            places, begins = flat(x.column(2).to_pylist(), v)
-            words = v.table()[places]
+            words, begins = flat(x.column(2).to_pylist())
             if len(words) <= MIN_SEED:
                 continue
             runs, ends = Runs(words), np.append(begins[1:], len(words)) - 1

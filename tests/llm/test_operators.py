@@ -413,3 +413,16 @@ def test_urls_far_from_seeds(spark):
     assert all(got[i].trust > 0 and got[i].distrust > 0 for i in range(100, 400))
     seen = urls.host_links(spark.createDataFrame([(r[1].split("/")[2], r[2]) for r in rows], "host string, html string"))
     assert seen.where("w <> 1").count() == 0  # names in either case are one link
+
+
+def test_word_hashes(monkeypatch):
+    """The vectorised words are those of the pattern, cut anywhere."""
+    texts = ["Ab c_d é9 日本 x", None, "", "--", "a" * 5 + " b", "İstanbul ǅ ß áb ²³ x", "x y " * 50]
+    h, of = decontaminate.word_hashes(texts)
+    want = [(k, w) for k, t in enumerate(texts) for w in decontaminate.tokens(t)]
+    assert of.tolist() == [k for k, _ in want]
+    by = {}
+    assert all(by.setdefault(w, x) == x for x, (_, w) in zip(h.tolist(), want)) and len(set(by.values())) == len(by)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 4)
+    again = decontaminate.word_hashes(texts)
+    assert (again[0] == h).all() and (again[1] == of).all()
