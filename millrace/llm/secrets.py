@@ -66,9 +66,10 @@ PREFIXED = r"(?<![A-Za-z0-9+/_-])" + PREFIXES.removeprefix("^") + r"[A-Za-z0-9+/
 
 def _candidates(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    runs = F.when(text.rlike("[0-9]"), F.filter(matches(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]"))).otherwise(none)
+    # a plain search first, as most texts hold nothing
+    runs = F.when(text.rlike("[A-Za-z0-9+/_-]{%d}" % MIN_LENGTH), F.filter(matches(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]"))).otherwise(none)
     named = F.when(text.rlike(KEYWORDS), matches(text, ASSIGNED)).otherwise(none)
-    known = matches(text, PREFIXED)
+    known = F.when(text.rlike(PREFIXES.removeprefix("^")), matches(text, PREFIXED)).otherwise(none)
     within = lambda m, held: F.exists(held, lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]))
     return let(named, lambda a: let(F.filter(F.array_distinct(F.concat(runs, known)), lambda m: ~within(m, a)), lambda b: F.array_sort(F.concat(a, b))))
 
@@ -78,7 +79,7 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
     t = F.coalesce(F.col(text), F.lit(""))
     given = documents.select(F.col(key), t.alias("_text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
     found = _candidates(F.col("_text"))
-    placed = given.select(F.col(key), "path", F.explode(let(found, lambda ms: _with_neighbours(F.col("_text"), ms))).alias("_m"))
+    placed = given.select(F.col(key), "path", F.explode(let(found, lambda ms: F.when(F.size(ms) > 0, _with_neighbours(F.col("_text"), ms)))).alias("_m"))
     return placed.select(key, "_m.start", "_m.end", "_m.value", "_m.before", "_m.after", "path")
 
 
@@ -194,7 +195,7 @@ def train(findings: DataFrame, words: DataFrame) -> RandomForestClassificationMo
 
 def scan(documents: DataFrame, model: RandomForestClassificationModel, words: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """key, start, end, value, score, is_secret of every candidate."""
-    found = features(candidates(documents, key, text, path), words)
+    found = features(durable(candidates(documents, key, text, path)), words)  # read once for itself and once for each of its dictionaries
     judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return judged.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value", F.round(score, 6).alias("score"), (score >= 0.5).alias("is_secret"))
