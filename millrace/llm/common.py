@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, where the session has kept Spark's own bound; batches of plain numbers are smaller in any case."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so few rows and bytes (a single row may hold more) that a worker unpacks little at a time."""
     for b in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import pieces
+from millrace.llm.common import bounded_batches, pieces
 
 PROFILE = 300
 MAX_TRAINING_DOCS = 4000
@@ -92,7 +92,7 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", length: int = PROFILE, max_docs: int = MAX_TRAINING_DOCS) -> Profiles:
     """Profiles of the languages of `labelled`."""
-    spark = labelled.sparkSession
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
     # a row for each language: as many as there are languages
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
@@ -134,6 +134,7 @@ def least_score(labelled: DataFrame, profiles: Profiles, text: str = "text", lan
 
 def identify(documents: DataFrame, profiles: Profiles, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents with two more columns; what else they hold passes unread."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
     schema = T.StructType([f for f in documents.schema.fields if f.name not in into] + [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     keep = [f.name for f in schema.fields[:-2]]

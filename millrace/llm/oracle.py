@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.urls import BLOCK_SHARE, DAMPING, LINK, RULES
 from millrace.llm.quality import STOP_WORDS, SYMBOLS
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -39,4 +40,27 @@ f as (select *, min(page_id) over (partition by payload_digest) as first_id from
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to from f"""
 
-ORACLES = {"op1_quality_rules": OP1, "op4_suffix_dedup": OP4, "op9_warc": OP9}
+_RULE = "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{{}}'".format(v) for r in sorted(RULES, key=lambda r: (-len(r.name), r.name)) for v in ("NAME:" + r.name + ":" + r.verdict,)) + " end"
+
+
+def _rounds(name: str, verdict: str, src: str, dst: str, n: int = 60) -> str:
+    """Rounds of PageRank along links from src to dst, from the hosts of pages with the verdict; n is beyond what the operator runs until it settles."""
+    parts = [
+        f"{name}_out as materialized (select {src} as a, {dst} as b, w / sum(w) over (partition by {src}) as p from link)",
+        f"{name}_seed as materialized (select host as node, count(*) / sum(count(*)) over () as seed from judged where ruled = '{verdict}' and host <> '' group by host)",
+        f"{name}_0 as (select '' as node, cast(0 as double) as s where false)",
+    ]
+    for k in range(1, n + 1):
+        parts.append(f"{name}_{k} as materialized (select b as node, sum({DAMPING} * s * p) as s from {name}_out join (select node, sum(s) as s from (select node, {1 - DAMPING} * seed as s from {name}_seed union all select node, s from {name}_{k - 1}) x group by node) y on a = node group by b)")
+    return ", ".join(parts)
+
+
+OP7 = rf"""
+with split as (select page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+judged as materialized (select page_id, html, host, path, string_split(r, ':')[2] as rule, string_split(r, ':')[3] as ruled from (select *, {_RULE} as r from split) x),
+link as materialized (select src, dst, count(*) as w from (select host as src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1), lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) as dst from judged) x where src <> '' and src <> dst group by src, dst),
+{_rounds("t", "allow", "src", "dst")}, {_rounds("d", "block", "dst", "src")}
+select page_id, host, path, rule, coalesce(ruled, case when coalesce(d_60.s, 0) > 0 and d_60.s >= {BLOCK_SHARE} * (coalesce(t_60.s, 0) + d_60.s) then 'block' else 'allow' end) as verdict
+from judged left join t_60 on t_60.node = host left join d_60 on d_60.node = host"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_suffix_dedup": OP4, "op7_url_filter": OP7, "op9_warc": OP9}

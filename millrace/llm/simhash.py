@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, pieces, unused
+from millrace.llm.common import bounded_batches, durable, pieces, unused
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -156,6 +156,7 @@ def numbered(documents: DataFrame, key: str, text: str, a: str, b: str) -> DataF
 
 def identified(documents: DataFrame, key: str, text: str) -> DataFrame:
     """a, b (128 bits of hash of key and text, which tell rows apart whatever their keys), key and text."""
+    bounded_batches(documents.sparkSession)
     k, t = F.col(key), F.col(text)
     return documents.select(_hash_a(k, t).alias("a"), _hash_b(k, t).alias("b"), k, t)
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, durable, pieces, release, spill
+from millrace.llm.common import bounded_batches, discard, durable, pieces, release, spill
 
 LENGTH = 200
 GRAM = 32
@@ -218,6 +218,7 @@ def _construct_all(length: int):
 def repeats(documents: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """a, b, lo, hi: byte ranges that repeat in the texts whose hash is a, b. `documents` has the columns a, b and text."""
     spark = documents.sparkSession
+    bounded_batches(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in pieces(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable
+from millrace.llm.common import bounded_batches, durable
 
 MIN_PAYLOAD = 100
 #: Raw bytes of records that one archive file holds, about.
@@ -133,6 +133,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """A row for each record of the archives in path. Digest and size of a response come from its bytes, a revisit's from its headers."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "kind string, rid string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string, fields string, payload binary"
     arrow = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in schema.split(", "))])

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -152,3 +153,21 @@ def secret_features(value, before, after, path, words, patterns):
 def beside(text, start, end, near):
     """The words on both sides of a value."""
     return " ".join(text[:start].split(" ")[-near - 1 :]), " ".join(text[end:].split(" ")[: near + 1])
+
+
+def disclosing(texts, alpha=1.1, remove=0.999, level=0.05):
+    """Terms that disclose an e-mail address or its domain, for distinct texts no two of which are copies: term to (kind, removed)."""
+    mail = re.compile(PATTERNS[0][1])
+    words = [set(re.findall(r"[^\W\d_]{3,}", mail.sub(" ", t).lower())) for t in texts]
+    anywhere = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
+    entities = [{e for m in mail.finditer(t) for e in (m[0], "group " + m[0][m[0].index("@") :])} for t in texts]
+    total, tested = len(texts), sum(len(e) * len(w) for e, w in zip(entities, words))
+    n_entity, n_both, n_term = Counter(e for s in entities for e in s), Counter((e, t) for s, w in zip(entities, words) for e in s for t in w), Counter(t for w in anywhere for t in w)
+    out = {}
+    for (e, t), both in n_both.items():
+        ic, pmi = math.log2(total / n_entity[e]), math.log2(total * both / (n_entity[e] * n_term[t]))
+        a, q = both / n_entity[e], n_term[t] / total
+        apart = a * math.log(a / q) + ((1 - a) * math.log((1 - a) / (1 - q)) if a < 1 and q < 1 else 0)
+        if ic > 0 and pmi >= ic / alpha - 1e-9 and math.log(tested) - n_entity[e] * apart <= math.log(level):
+            out[t] = max(out.get(t, 0), pmi / ic)
+    return {t: (0, told >= remove) for t, told in out.items()}

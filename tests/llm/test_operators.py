@@ -411,6 +411,14 @@ def test_urls_far_from_seeds(spark):
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i].verdict == "block" for i in range(41)) and got[99].verdict == "allow"  # trusted more than not
     assert all(got[i].trust > 0 and got[i].distrust > 0 for i in range(100, 400))
+    import duckdb
+
+    from millrace.llm.oracle import ORACLES
+
+    c = duckdb.connect()
+    c.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, ?, ?)", rows)
+    assert {r[0]: r[4] for r in c.execute(ORACLES["op7_url_filter"]).fetchall()} == {k: r.verdict for k, r in got.items()}
     seen = urls.host_links(spark.createDataFrame([(r[1].split("/")[2], r[2]) for r in rows], "host string, html string"))
     assert seen.where("w <> 1").count() == 0  # names in either case are one link
 
@@ -426,3 +434,17 @@ def test_word_hashes(monkeypatch):
     monkeypatch.setattr(decontaminate, "SEGMENT", 4)
     again = decontaminate.word_hashes(texts)
     assert (again[0] == h).all() and (again[1] == of).all()
+
+
+def test_pii_terms_against_brute_force(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bcdfglmnrst") + rnd.choice("aeiou") for _ in range(3))
+    common = [word() for _ in range(120)]
+    some = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    texts = [some(40) for _ in range(220)]
+    # names beside one address, beside a domain, partly elsewhere, and too rare to tell
+    texts += [f"{some(15)} Kowalska {some(9)} k{i % 2}@alpha.example {some(12)}" for i in range(8)] + [f"{some(20)} Ferreira mail me@beta.example {some(14)}" for _ in range(6)]
+    texts += [f"{some(12)} Lindqvist p{i}@gamma.example {some(15)}" for i in range(9)] + [f"{some(25)} Lindqvist {some(5)}"] + [f"{some(25)} Ferreira {some(5)}" for _ in range(3)] + [f"{some(20)} Ordonez x@delta.example {some(9)}"]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string")
+    got = {r.term: (r.kind, r.removed) for r in pii.disclosing(df.withColumn("base", pii.base_spans(F.col("_text")))).collect()}
+    assert got == brute.disclosing(texts) and got["kowalska"] == (0, True) and got["lindqvist"] == (0, False) and "ordonez" not in got
