@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, pii, quality, queries, secrets, simhash, suffix_dedup, urls, warc
+from millrace.llm import decontaminate, langid, mixing, pii, quality, queries, resemblance, secrets, simhash, suffix_dedup, urls, warc
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -364,7 +364,7 @@ def test_pipeline_stages(spark, docs):
         left = stage(spark, left, SF)
         assert left.columns == docs.columns
     n = {r.doc_id for r in left.collect()}
-    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    roots = {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs).collect()}
     leaks = {r.doc_id for r in decontaminate.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert n == {k for k, c in roots.items() if k == c} - leaks
     assert not any(sum(brute.pii(r.text)[0].values()) for r in left.collect())
@@ -448,3 +448,77 @@ def test_pii_terms_against_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in texts], "_text string")
     got = {r.term: (r.kind, r.removed) for r in pii.disclosing(df.withColumn("base", pii.base_spans(F.col("_text")))).collect()}
     assert got == brute.disclosing(texts) and got["kowalska"] == (0, True) and got["lindqvist"] == (0, False) and "ordonez" not in got
+
+
+def test_deduplicate_by_row(spark):
+    """A repeated key with a text of its own stays, equal rows stay once, ties go to the smallest key, null keys come last."""
+    text = lambda *seed: " ".join(f"{c}{k}" for c in seed for k in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("c")), (None, text("b")), (None, text("d")), (4, text("d", "e")), (5, text("d", "e") + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_a": F.lit("x"), "root": F.lit(1), "_Row": F.lit(2)})
+    for find in (simhash.grouped, resemblance.grouped):
+        kept = simhash.deduplicate(df, find=find)
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        want = [(1, text("a")), (2, text("b")), (3, text("c")), (None, text("d")), (4, text("d", "e"))]
+        if find is simhash.grouped and len(got) == 6:  # five words more may differ in more than four bits
+            want.append((5, text("d", "e") + " end"))
+        assert got == sorted(want, key=repr) and kept.columns == df.columns
+        assert simhash.deduplicate(df.limit(0), find=find).count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, docs):
+    import corpus_pipeline
+
+    table = odd.withColumn("n_chars", F.length("text").cast("long")).withColumn("mix_shard", F.lit("x"))
+    for df in (table, table.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, df, SF)
+            rows = found.collect()
+            assert set(df.columns) <= set(found.columns)
+            assert (len(rows) == 0) == (df is not table)
+            if name == "benchmark decontamination" or name == "PII":
+                assert len(rows) == df.count()
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unlabelled, SF).count() == unlabelled.count()
+
+
+def test_mixing_plan_and_mixture_agree(spark, odd):
+    """Equal rows have one plan, rows of one key and different texts have their own; the tree's shards are those of the mixture."""
+    rows = [(i % 40, f"w{i} " * (i % 7 + 1), f"s{i % 3}") for i in range(300)] + [(7, "same same", "s1")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").unionAll(odd.select("doc_id", "text", "source"))
+    plan = mixing.plan(mixing.sized(df)).collect()
+    drawn = sorted(((r.doc_id, d["pass"], d.shard) for r in plan for d in r.draws), key=repr)
+    assert drawn == sorted(((r.doc_id, r.mix_pass, r.mix_shard) for r in mixing.mixed(df).collect()), key=repr)
+    again = mixing.digest(df.orderBy(F.rand(3))).collect()
+    key = lambda rs: sorted((tuple(r) for r in rs), key=repr)
+    assert key(again) == key(mixing.digest(df).collect())
+    assert all(len(r.draws) <= 3 for r in plan)
+
+
+def test_mixing_tree_against_brute_force(spark):
+    """Every split of the tree draws block after block without replacement."""
+    counts, shards = [40, 25, 7], 6
+    drawn = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(counts)], "source string, n long")
+    got = {(r.source, r.shard): r.quota for r in mixing.quotas(drawn, shards).collect()}
+    ask = {}
+
+    def uniform(node, k, i):
+        if not ask:
+            df = spark.range(shards * 1000 + shards + 1).where(F.col("id") % 1000 <= shards).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(max(counts)))))
+            ask.update({(r.id, r.k, r.i): r.u for r in df.select("id", "k", "i", mixing._uniform(F.col("id").cast("int"), F.col("k").cast("int"), F.col("i").cast("long")).alias("u")).collect()})
+        return ask[node, k, i]
+
+    def split(counts, first, leaves):
+        if leaves == 1:
+            return {(f"s{k}", first): n for k, n in enumerate(counts)}
+        half, rest = -(-leaves // 2), sum(counts)
+        room, left = rest * half // leaves, []
+        for k, n in enumerate(counts):
+            x = 0
+            for i in range(1, n + 1):
+                if uniform(first * 1000 + leaves, k, i) * rest < room:
+                    room, x = room - 1, x + 1
+                rest -= 1
+            left.append(x)
+        return split(left, first, half) | split([n - x for n, x in zip(counts, left)], first + half, leaves - half)
+
+    assert got == split(counts, 0, shards)
