@@ -45,7 +45,7 @@ MIN_SCORE = 0.5
 MASK_BITS = 22
 BROADCAST_ROWS = 1_000_000
 #: Characters whose words are hashed together.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _word_table: list[np.ndarray] = []

@@ -50,8 +50,10 @@ def ngrams(text: str) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     codes = np.where(is_letter, codes, SPACE).astype(np.int64)
     keep = np.ones(len(codes), dtype=bool)
+    keep[0] = is_letter[0]
     keep[1:] = is_letter[1:] | is_letter[:-1]
-    codes = np.concatenate(([SPACE], codes[keep], [SPACE]))
+    codes = codes[keep]
+    codes = np.concatenate(([SPACE], codes[:-1] if codes[-1] == SPACE else codes, [SPACE]))
     one, two = codes[codes != SPACE], (codes[:-1] << 21) | codes[1:]
     three = (two[:-1] << 21) | codes[2:]
     two = two[two != (SPACE << 21 | SPACE)]

@@ -171,3 +171,23 @@ def disclosing(texts, alpha=1.1, remove=0.999, level=0.05):
         if ic > 0 and pmi >= ic / alpha - 1e-9 and math.log(tested) - n_entity[e] * apart <= math.log(level):
             out[t] = max(out.get(t, 0), pmi / ic)
     return {t: (0, told >= remove) for t, told in out.items()}
+
+
+def rank_profile(text, most):
+    """The most frequent letter n-grams of one to three characters, words padded with one space, ties by code points."""
+    spaced = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()).strip(" ")) + " "
+    if not spaced.strip():
+        return []
+    grams = Counter(spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1) if spaced[i : i + n].strip(" "))
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(grams, key=lambda g: (-grams[g], code(g)))[:most]
+
+
+def language(text, profiles, length):
+    """(language, score) by out-of-place distance; profiles: language to its n-grams by rank."""
+    own = rank_profile(text or "", length)
+    if not own:
+        return "und", 0.0
+    far = {name: sum(abs(ranked.index(g) - k) if g in ranked else length for k, g in enumerate(own)) for name, ranked in sorted(profiles.items())}
+    best = min(far, key=far.get)
+    return best, 1 - far[best] / (length * len(own))

@@ -522,3 +522,17 @@ def test_mixing_tree_against_brute_force(spark):
         return split(left, first, half) | split([n - x for n, x in zip(counts, left)], first + half, leaves - half)
 
     assert got == split(counts, 0, shards)
+
+
+def test_langid_against_brute_force(spark, docs, odd):
+    profiles = langid.learn(docs)
+    letters = lambda g: "".join(chr(c) for c in ((g >> 42) & 0x1FFFFF, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c)
+    ranked = {name: [letters(int(profiles.grams[k])) for k in sorted(np.flatnonzero(profiles.ranks[i, :-1] >= 0), key=lambda k: profiles.ranks[i, k])] for i, name in enumerate(profiles.names)}
+    # of each language's n-grams the most frequent of all its labelled texts
+    for name, top in ranked.items():
+        texts = [r.text for r in docs.where(F.col("lang") == name).collect()]
+        assert top[:50] == brute.rank_profile("\n".join(texts), 50)
+    for df in (docs.select("doc_id", "text").orderBy("doc_id").limit(60), odd.select("doc_id", "text")):
+        got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(df, profiles).collect()), key=repr)
+        want = [(r.doc_id, *brute.language(r.text, ranked, profiles.length)) for r in df.collect()]
+        assert got == sorted(((k, name, round(score, 9)) for k, name, score in want), key=repr)
