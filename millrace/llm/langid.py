@@ -5,9 +5,9 @@ rank. A document is given the language whose profile has the least out-of-place
 document's own: the sum of the rank differences of the document's n-grams, an n-gram that the profile
 lacks counting as the profile's length.
 
-Learning reads labelled rows only, at most about MAX_TRAINING_DOCS of each language (a documented
-bound; rows are taken by a hash of their key, at a rate that follows from the language's count).
-Predictions use nothing but the text, the whole of it.
+Learning reads labelled rows only, and all of them, whole: profiles are made from the counts of every
+n-gram of every labelled text, the bound on distance from the scores of every labelled text that is
+given its own language. Predictions use nothing but the text, the whole of it.
 
 Nulls and odd input: a null text, or one without a letter, is `und` with score 0; ties between
 languages go to the smaller name. Repeated rows give repeated results; extra columns are ignored, and
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.stats import percentile_by_index
 from millrace.llm.common import bounded_batches, pieces
 
 PROFILE = 300
-MAX_TRAINING_DOCS = 4000
 SPACE = 32
 #: A score below SLACK of that which all but UNLIKE of a language's labelled rows reach speaks for no learnt language.
 SLACK, UNLIKE = 0.85, 0.001
+#: Scores are counted in steps of 1 / STEPS, so a language has at most STEPS + 1 rows however many texts it has.
+STEPS = 10_000
 _letters: list[np.ndarray] = []
 
 
@@ -92,18 +94,10 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", length: int = PROFILE, max_docs: int = MAX_TRAINING_DOCS) -> Profiles:
-    """Profiles of the languages of `labelled`."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", length: int = PROFILE) -> Profiles:
+    """Profiles of the languages of `labelled`, from all its rows that have a text and a language."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
-    # a row for each language: as many as there are languages
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Profiles({}, length)
-    rate = F.lit(None).cast("double")
-    for name, n in sorted(counts.items()):
-        rate = F.when(F.col("_lang") == name, F.lit(min(1.0, max_docs / n))).otherwise(rate)
-    taken = rows.where(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(6)), F.lit(1_000_003)) < rate * 1_000_003)
+    rows = labelled.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -114,7 +108,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    totals = taken.select("_lang", "_text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)
     ranked: dict[str, list[int]] = {}
@@ -123,15 +117,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Profiles(ranked, length)
 
 
-def least_score(labelled: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_TRAINING_DOCS) -> float:
-    """The score below which a text is in none of the learnt languages, from the scores of labelled rows that are given their own; 0 without any."""
-    rows = labelled.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and text is not null")
-    most = max(1, len(profiles.names)) * max_docs
-    taken = rows.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1_000_003)) < F.lit(min(1.0, most / max(1, rows.count())) * 1_000_003))
-    right = identify(taken, profiles).where("lang_pred = _lang")
-    # a row for each language
-    low = [r["low"] for r in right.groupBy("_lang").agg(F.percentile_approx("score", UNLIKE, 100_000).alias("low")).collect()]
-    return SLACK * min(low) if low else 0.0
+def least_score(labelled: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> float:
+    """The score below which a text is in none of the learnt languages, from the scores of all labelled rows that are given their own, rounded down to 1 / STEPS; 0 without any."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("_lang")).where("_lang is not null and text is not null")
+    right = identify(rows, profiles).where("lang_pred = _lang").select("_lang", F.floor(F.col("score") * STEPS).alias("step"))
+    low = [r["low"] for r in percentile_by_index(right, ["_lang"], "step", {"low": f"ceil({UNLIKE} * n) - 1"}).collect()]  # a row for each language
+    return SLACK * min(low) / STEPS if low else 0.0
 
 
 def identify(documents: DataFrame, profiles: Profiles, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -536,3 +536,23 @@ def test_langid_against_brute_force(spark, docs, odd):
         got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(df, profiles).collect()), key=repr)
         want = [(r.doc_id, *brute.language(r.text, ranked, profiles.length)) for r in df.collect()]
         assert got == sorted(((k, name, round(score, 9)) for k, name, score in want), key=repr)
+
+
+def test_langid_learns_from_every_labelled_row(spark):
+    """Profiles and the bound on distance are those of all rows, also where a language has many: close counts decide ranks, eighteen odd texts of eighteen thousand the bound."""
+    letters = "abcdefghijklmnopqrst"
+    rows = [(letters[k], "xx") for k in range(20) for _ in range(880 + k)]  # 17,790 texts
+    rows += [(" ".join([*letters[n:], *(chr(0x4E00 + 50 * n + j) * 2 for j in range(2 * n))]), "xx") for n in range(20)]
+    rows += [("ж" * n, "yy") for n in range(1, 4)] + [("a", None), (None, "xx")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(8)
+    profiles = langid.learn(df)
+    scores = {}
+    for k, name in enumerate(profiles.names):
+        texts = [t for t, lang in rows if lang == name and t]
+        grams = langid.profile(np.concatenate([langid.ngrams(t) for t in texts]), profiles.length)
+        assert profiles.ranks[k, np.searchsorted(profiles.grams, grams)].tolist() == list(range(len(grams)))
+        scores[name] = sorted(score for found, score in map(profiles.predict, texts) if found == name)
+    lowest = {name: s[-(-len(s) // 1000) - 1] for name, s in scores.items()}
+    assert len(scores["xx"]) == 17_810 and lowest["xx"] < lowest["yy"]
+    least = langid.least_score(df, profiles)
+    assert langid.SLACK * (lowest["xx"] - 0.0001) <= least <= langid.SLACK * lowest["xx"]
